@@ -82,3 +82,19 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     rest = width - span
     return np.minimum(values[: values.size - rest], values[rest:]) if rest else values
+
+
+def whole(texts: list[str | None], size: int = SLICE) -> Iterator[tuple[list[int], list[str]]]:
+    """(text numbers, texts) with about `size` code points each; no text is cut, null texts are left out."""
+    numbers: list[int] = []
+    held = 0
+    for number, text in enumerate(texts):
+        if text is None:
+            continue
+        if numbers and held + len(text) > size:
+            yield numbers, [texts[n] for n in numbers]
+            numbers, held = [], 0
+        numbers.append(number)
+        held += len(text)
+    if numbers:
+        yield numbers, [texts[n] for n in numbers]

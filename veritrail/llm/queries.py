@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.tables import table
+from .leakage import leaked_items
+from .packing import CAPACITY, pack_items
+from .repetition import LIMIT, line_repetition
+from .same_look import same_look_pairs
 from .shared_spans import shared_spans
+from .splitting import split_items
+from .term_counts import TermCounts, changes, marked_terms, pair_deltas, value_deltas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,8 +53,99 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kind_and_id(found, "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"), spans)
 
 
+#: Shares of a field's records beyond which a term is common.
+COMMON = {"matched_keyword": 0.01, "text": 0.2}
+
+
+def _term_counts(spark: SparkSession, sf_dir: str) -> TermCounts:
+    """Two deliveries merged into persistent counts: what was loaded up to the middle of the loading
+    period, then what was added or changed after it."""
+    fields = (("checklist_result", "claim_id", "matched_keyword", "checked_ts", value_deltas), ("chunks", "chunk_id", "text", "loaded_ts", pair_deltas))
+    deltas = None
+    for name, key, text, ts, count in fields:
+        df = table(spark, sf_dir, name).select(key, text, ts)
+        low, high = df.agg(F.min(ts).cast("double"), F.max(ts).cast("double")).first()
+        middle = ((low or 0) + (high or 0)) / 2
+        part = count(changes(df, key, text, ts, F.coalesce((F.col(ts).cast("double") > middle).cast("int"), F.lit(0))), text)
+        deltas = part if deltas is None else deltas.unionByName(part)
+    log = materialize(deltas.groupBy("epoch", "field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "term-deltas")
+    counts = TermCounts(spark)
+    for epoch in (0, 1):
+        counts = counts.merge(log.filter(F.col("epoch") == epoch))
+    return counts
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and adjacent pairs of ideographs that are too rare or too common, with their mark."""
+    return marked_terms(_term_counts(spark, sf_dir).read(), COMMON).filter("mark is not null").select("field", "term", "mark")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and records of every value and pair, with marks."""
+    return marked_terms(_term_counts(spark, sf_dir).read(), COMMON).withColumn("share", F.round("share", 9))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized chunks that can't be cut at natural boundaries only."""
+    items = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("item_id"), "text")
+    return split_items(items).filter("piece_no = 0 and not natural").select(F.col("item_id").alias("chunk_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of oversized chunks, with path and own offset."""
+    chunks = table(spark, sf_dir, "chunks").filter(F.length("text") > 600).select(F.col("chunk_id").alias("item_id"), "source_path", "chunk_offset", "text").dropDuplicates(["item_id"])
+    pieces = split_items(chunks).drop("natural")
+    places = chunks.select("item_id", "source_path", "chunk_offset")
+    return pieces.join(places, "item_id").select(F.col("item_id").alias("chunk_id"), "source_path", "piece_no", (F.col("chunk_offset") + F.col("start")).alias("chunk_offset"), F.col("piece").alias("text"), "cut")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, n: the distinct strings in entities and bylines, and how often they stand there."""
+    typed = table(spark, sf_dir, "checklist_result").select(F.explode("entities").alias("name"))
+    bylines = table(spark, sf_dir, "chunks").filter(F.col("text").contains("【供稿：")).select(F.explode(F.regexp_extract_all("text", F.lit("【供稿：([^】]*)】"), F.lit(1))).alias("name"))
+    return typed.unionByName(bylines).filter("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks, claims and names that look the same but differ in stored characters."""
+    item = lambda df, field, key, text: df.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
+    chunks = item(table(spark, sf_dir, "chunks"), "chunk_text", "chunk_id", "text")
+    claims = item(table(spark, sf_dir, "checklist_result"), "claim_text", "claim_id", "claim_text")
+    names = item(_names(spark, sf_dir), "name", "name", "name")
+    return same_look_pairs(chunks.unionByName(claims).unionByName(names))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, by size in tokens, in containers of 4,096 tokens; a missing size is worked out from the text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce(F.col("n_tokens"), F.octet_length("text") + 1).alias("size"))
+    return pack_items(docs, CAPACITY).select("container_id", F.col("item_id").alias("doc_id"), "part_no", "part_offset", F.col("size").alias("tokens"), F.col("fill").alias("container_tokens"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items of which at least half leaked into them."""
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the item's letters, digits and ideographs and how many of them leaked."""
+    items = table(spark, sf_dir, "gold_annotations").select("item_id", F.col("claim_text").alias("text"))
+    return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose 30 % of their characters or more to the rule on repeated text."""
+    docs = line_repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.filter(F.expr(f"n_chars > 0 and repeated_chars >= {LIMIT} * n_chars")).select("doc_id").distinct()
+
+
+def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the share that repeats itself, and what the line rules find."""
+    docs = line_repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.withColumn("repeated_share", F.round(F.col("repeated_chars") / F.greatest(F.col("n_chars"), F.lit(1)), 6))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares}
+    return {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p6_packed, p7_found, p7_leaks, p8_found, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
