@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ..sources.tables import table
 from .leakage import leaked_items
+from .name_variants import linked_names, variant_pairs
 from .packing import CAPACITY, pack_items
 from .repetition import LIMIT, line_repetition
 from .same_look import same_look_pairs
@@ -106,6 +107,16 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.unionByName(bylines).filter("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different strings that name the same person or organisation."""
+    return variant_pairs(_names(spark, sf_dir))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each string that names somebody, with the entity that it names."""
+    return linked_names(_names(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks, claims and names that look the same but differ in stored characters."""
     item = lambda df, field, key, text: df.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
@@ -145,7 +156,7 @@ def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p6_packed, p7_found, p7_leaks, p8_found, p8_lines)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_entities, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p6_packed, p7_found, p7_leaks, p8_found, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
