@@ -1,46 +1,84 @@
 """Which terms stand in which texts: the join on containment, without a nested loop.
 
-A term can only stand in a text that has all of the term's character n-grams. Each term is looked up by
-its rarest one (the anchor), by an equi-join with the texts' grams; what meets is verified. Catalyst takes
-the anchors for the broadcast side by their measured size, or shuffles both sides where they are many.
+A term can only stand in a text that has all of the term's character n-grams. Grams of up to three
+characters fit into a long (21 bits a code point), so that the texts' postings are pairs of longs. Postings
+of grams that no term has are dropped by a semi-join at once; each term is then looked up by its rarest gram
+(the anchor), by an equi-join, and what meets is verified. Catalyst takes the smaller side for a broadcast
+by its measured size, or shuffles both where neither is small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
+from ..session import materialize
 
 GRAM = 3
 
 
-def grams(text: Column, size: int) -> Column:
-    """Distinct n-grams of a text; none where it is shorter."""
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+def packed_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, gram) of all grams of `size` characters, without repeats in neighbouring texts' runs."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if codes.size < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    gram = codes[: codes.size - size + 1].copy()
+    for k in range(1, size):
+        gram = gram << 21 | codes[k : codes.size - size + 1 + k]
+    text_of = np.repeat(np.arange(len(texts)), lengths)
+    inside = text_of[: gram.size] == text_of[size - 1 :]
+    return text_of[: gram.size][inside], gram[inside]
+
+
+def _grams(sizes: list[int], most: int = 1 << 20):
+    schema = pa.schema([("id", pa.int64()), ("gram", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            low, held = 0, 0
+            for high in range(1, len(texts) + 1):
+                held += len(texts[high - 1])
+                if held < most and high < len(texts):
+                    continue
+                for size in sizes:
+                    text_of, gram = packed_grams(texts[low:high], size)
+                    yield pa.record_batch([pa.array(ids[low:high][text_of]), pa.array(gram)], schema=schema)
+                low, held = high, 0
+
+    return run
 
 
 def contains_join(terms: DataFrame, texts: DataFrame, text_id: str, ignore_case: bool = False) -> DataFrame:
-    """terms (term), texts (text_id, text) -> term, text_id, n_found: each distinct term and the texts that
-    contain it, with its occurrences (not overlapping, counted as written).
+    """terms (term), texts (text_id bigint, text) -> term, text_id, n_found: each distinct term and the texts
+    that contain it, with its occurrences (not overlapping, counted as written).
 
     Null and empty terms and null texts meet nothing. `ignore_case` finds terms in either case."""
     level = F.lower if ignore_case else lambda c: c
+    spark = terms.sparkSession
     terms = terms.select("term").filter("term is not null and term <> ''").distinct()
-    terms = terms.select("term", level(F.col("term")).alias("sought"), F.least(F.lit(GRAM), F.length("term")).alias("size"))
-    texts = texts.select(text_id, "text").filter("text is not null")
-    sought, held = None, None
-    for size in range(1, GRAM + 1):
-        own = terms.filter(F.col("size") == size).select("term", "sought", F.explode(grams(F.col("sought"), size)).alias("gram"))
+    terms = materialize(terms.select(F.xxhash64("term").alias("term_id"), "term", level(F.col("term")).alias("sought"), F.least(F.lit(GRAM), F.length(level(F.col("term")))).alias("size")), "terms")
+    sizes = sorted(r[0] for r in terms.select("size").distinct().collect()) or [GRAM]  # one, two, three
+    sought = None
+    for size in sizes:
+        own = terms.filter(F.col("size") == size).select("term_id", "sought").mapInArrow(_grams([size]), "term_id bigint, gram bigint")
         sought = own if sought is None else sought.unionByName(own)
-    for size in range(1, GRAM + 1):
-        wanted = sought.filter(F.length("gram") == size).select("gram").distinct()
-        part = texts.select(text_id, F.explode(grams(level(F.col("text")), size)).alias("gram")).join(wanted, "gram", "left_semi")
-        held = part if held is None else held.unionByName(part)
+    sought = materialize(sought.distinct(), "term-grams")
+    texts = texts.select(F.col(text_id).cast("bigint").alias(text_id), "text").filter("text is not null")
+    # by number, so that the little that small texts weigh isn't put into one task: grams are many times their texts
+    spread = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), text_id)
+    postings = spread.select(text_id, level(F.col("text"))).mapInArrow(_grams(sizes), f"{text_id} bigint, gram bigint")
+    held = materialize(postings.join(sought.select("gram").distinct(), "gram", "left_semi"), "postings")
     frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = F.row_number().over(W.partitionBy("term").orderBy("texts", "gram"))
-    anchors = sought.join(frequency, "gram").withColumn("_rank", rarest).filter("_rank = 1").select("term", "sought", "gram")
-    met = anchors.join(held, "gram").select("term", "sought", text_id).join(texts, text_id)
-    return met.filter(F.contains(level(F.col("text")), F.col("sought"))).select("term", text_id, occurrences(F.col("text"), F.col("term")).alias("n_found"))
+    rarest = F.row_number().over(W.partitionBy("term_id").orderBy("texts", "gram"))
+    anchors = sought.join(frequency, "gram").withColumn("_rank", rarest).filter("_rank = 1").select("term_id", "gram")
+    met = anchors.join(held, "gram").select("term_id", text_id).distinct()
+    rows = met.join(terms.select("term_id", "term", "sought"), "term_id").join(texts, text_id)
+    return rows.filter(F.contains(level(F.col("text")), F.col("sought"))).select("term", text_id, occurrences(F.col("text"), F.col("term")).alias("n_found"))
