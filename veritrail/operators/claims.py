@@ -54,15 +54,19 @@ def prompt_texts(texts: DataFrame, text_id: str, most: int = 3500) -> DataFrame:
 
 
 def conflicts(claims: DataFrame, similarity: float = L.ATTRIBUTE_SIMILARITY) -> DataFrame:
-    """target_path, claim_id, claim_text, entities -> target_path, entity, claim_a, claim_b, similarity: pairs
-    of a target's claims that share a name but few of the words around it (an off-by-default check)."""
+    """target_path, claim_id, claim_text, entities -> target_path, entity, claim_a, claim_b, n_a, n_b,
+    similarity: claims of a target that share a name but few of the words around it (an off-by-default check).
+
+    Claims with the same words around the name are one class and agree; a row stands for all pairs of two
+    classes, with the least claim and the number of claims of each."""
     named = claims.select("target_path", "claim_id", "claim_text", F.explode(F.array_distinct("entities")).alias("entity"))
-    named = named.select("target_path", "claim_id", "entity", T.attribute_words(F.col("claim_text"), F.col("entity")).alias("words"))
-    a, b = (named.select("target_path", "entity", F.col("claim_id").alias(f"claim_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
+    words = F.array_sort(T.attribute_words(F.col("claim_text"), F.col("entity"))).alias("words")
+    classes = named.select("target_path", "claim_id", "entity", words).groupBy("target_path", "entity", "words").agg(F.min("claim_id").alias("claim"), F.count(F.lit(1)).alias("n"))
+    a, b = (classes.select("target_path", "entity", F.col("claim").alias(f"claim_{s}"), F.col("n").alias(f"n_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
     pairs = a.join(b, ["target_path", "entity"]).filter("claim_a < claim_b")
     union = F.size(F.array_union("words_a", "words_b"))
     value = F.size(F.array_intersect("words_a", "words_b")) / F.nullif(union, F.lit(0))
-    return pairs.select("target_path", "entity", "claim_a", "claim_b", value.alias("similarity")).filter(F.col("similarity") < similarity)
+    return pairs.select("target_path", "entity", "claim_a", "claim_b", "n_a", "n_b", value.alias("similarity")).filter(F.col("similarity") < similarity)
 
 
 def batches(items: DataFrame, order: str, size: int, within: str) -> DataFrame:
