@@ -57,10 +57,11 @@ def _grams(sizes: list[int], most: int = 1 << 20):
 
 
 def contains_join(terms: DataFrame, texts: DataFrame, text_id: str, ignore_case: bool = False) -> DataFrame:
-    """terms (term), texts (text_id bigint, text) -> term, text_id, n_found: each distinct term and the texts
-    that contain it, with its occurrences (not overlapping, counted as written).
+    """terms (term), texts (text_id bigint, text) -> term, text_id, n_found, n_exact, n_chars: each distinct
+    term and the texts that contain it, with its occurrences (not overlapping), those as written, and the
+    text's length.
 
-    Null and empty terms and null texts meet nothing. `ignore_case` finds terms in either case."""
+    Null and empty terms and null texts meet nothing. `ignore_case` finds and counts terms in either case."""
     level = F.lower if ignore_case else lambda c: c
     spark = terms.sparkSession
     terms = terms.select("term").filter("term is not null and term <> ''").distinct()
@@ -72,13 +73,14 @@ def contains_join(terms: DataFrame, texts: DataFrame, text_id: str, ignore_case:
         sought = own if sought is None else sought.unionByName(own)
     sought = materialize(sought.distinct(), "term-grams")
     texts = texts.select(F.col(text_id).cast("bigint").alias(text_id), "text").filter("text is not null")
-    # by number, so that the little that small texts weigh isn't put into one task: grams are many times their texts
-    spread = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), text_id)
-    postings = spread.select(text_id, level(F.col("text"))).mapInArrow(_grams(sizes), f"{text_id} bigint, gram bigint")
+    # by number, so that the little that small texts weigh isn't put into one task: grams and hits are many times their texts
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = texts.select(text_id, "text", level(F.col("text")).alias("levelled")).repartition(parts, text_id)
+    postings = spread.select(text_id, "levelled").mapInArrow(_grams(sizes), f"{text_id} bigint, gram bigint")
     held = materialize(postings.join(sought.select("gram").distinct(), "gram", "left_semi"), "postings")
     frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     rarest = F.row_number().over(W.partitionBy("term_id").orderBy("texts", "gram"))
     anchors = sought.join(frequency, "gram").withColumn("_rank", rarest).filter("_rank = 1").select("term_id", "gram")
-    met = anchors.join(held, "gram").select("term_id", text_id).distinct()
-    rows = met.join(terms.select("term_id", "term", "sought"), "term_id").join(texts, text_id)
-    return rows.filter(F.contains(level(F.col("text")), F.col("sought"))).select("term", text_id, occurrences(F.col("text"), F.col("term")).alias("n_found"))
+    met = anchors.join(held, "gram").select("term_id", text_id).distinct().join(terms.select("term_id", "term", "sought"), "term_id")
+    rows = met.repartition(parts, text_id).join(spread, text_id).filter(F.contains("levelled", "sought"))
+    return rows.select("term", text_id, occurrences(F.col("levelled"), F.col("sought")).alias("n_found"), occurrences(F.col("text"), F.col("term")).alias("n_exact"), F.length("text").alias("n_chars"))

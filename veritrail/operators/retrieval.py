@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..session import materialize
 from .containment import contains_join
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -16,10 +17,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 def phrase_hits(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     """term, chunk_id, n_found, n_exact, size: chunks (chunk_id, text) that hold a term in either case, with
     its occurrences regardless of case and as written, and the chunk's number of trigrams."""
-    hits = contains_join(terms, chunks, "chunk_id", ignore_case=True).withColumnRenamed("n_found", "n_exact")
-    return hits.join(chunks.select("chunk_id", "text"), "chunk_id").select(
-        "term", "chunk_id", T.occurrences(F.lower("text"), F.lower("term")).alias("n_found"), "n_exact", F.greatest(F.length("text") - 2, F.lit(0)).alias("size")
-    )
+    hits = contains_join(terms, chunks, "chunk_id", ignore_case=True)
+    return hits.select("term", "chunk_id", "n_found", "n_exact", F.greatest(F.col("n_chars") - 2, F.lit(0)).alias("size"))
 
 
 def bm25(hits: DataFrame, chunks: DataFrame, limit: int = L.TERM_LIMIT) -> DataFrame:
@@ -70,7 +69,7 @@ def candidates(claims: DataFrame, chunks: DataFrame, top_k: int = L.TOP_K) -> Da
     score: the best chunks a claim. Terms of three characters or more (spaces not counted) rank by BM25,
     shorter ones by count. Equal scores go by the term, then the rank, that found the chunk first."""
     terms = search_terms(claims)
-    hits = phrase_hits(terms, chunks)
+    hits = materialize(phrase_hits(terms, chunks), "phrase-hits")
     long = F.length(F.replace("term", F.lit(" "), F.lit(""))) >= 3
     ranked = bm25(hits.filter(long), chunks).unionByName(counted(hits.filter(~long)))
     scored = penalised(fuse(terms, ranked), claims, chunks)
