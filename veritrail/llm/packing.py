@@ -114,6 +114,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, group_size: int = GRO
     loose = parts.filter(F.col("size") < capacity)
     groups = max(1, -(-items.count() // group_size))
     loose = loose.select(F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("group_id"), F.xxhash64(F.lit(7), "item_id").alias("order_key"), "item_id", "part_no", "part_offset", "size")
+    # by number: a group is little data but much work, so groups mustn't be put together by size
+    loose = loose.repartition(int(min(groups, 4096)), "group_id")
     first = materialize(loose.groupBy("group_id").applyInPandas(_pack(capacity, True), _OUT), "packed")
     ready = first.filter(F.col("fill") >= full_enough * capacity)
     wider = max(1, groups // 32)

@@ -159,5 +159,31 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_entities, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p6_packed, p7_found, p7_leaks, p8_found, p8_lines)}
 
 
+_P1 = """
+  WITH refs AS (SELECT source, min(source_path) AS path FROM ref_docs GROUP BY source),
+  r AS (SELECT 'chunk' AS rec_kind, chunk_id AS rec_id, source_path AS origin, text FROM chunks UNION SELECT 'claim', claim_id, target_path, claim_text FROM checklist_result
+    UNION SELECT 'snippet', claim_id, coalesce(path, c.source), snippet FROM checklist_result c LEFT JOIN refs ON refs.source = c.source WHERE c.source IS NOT NULL AND snippet IS NOT NULL),
+  w AS (SELECT rec_kind, rec_id, origin, length(text) AS n, unnest(range(1, length(text) - 48)) AS i, unnest(list_transform(range(1, length(text) - 48), lambda i: substr(text, i, 50))) AS g FROM r WHERE length(text) >= 50),
+  s AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT origin) > 1), f AS (SELECT * FROM w SEMI JOIN s USING (g))"""
+_P3 = """
+  WITH k AS (SELECT DISTINCT claim_id, matched_keyword AS term FROM checklist_result WHERE matched_keyword <> ''), c AS (SELECT DISTINCT chunk_id, text FROM chunks),
+  p AS (SELECT chunk_id, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS term FROM c),
+  g AS (SELECT chunk_id, term, count(*) AS n FROM p WHERE regexp_full_match(term, '[\\x{4E00}-\\x{9FFF}]{2}') GROUP BY ALL),
+  t AS (SELECT 'matched_keyword' AS field, term, count(*) AS occurrences, count(*) AS records, (SELECT count(*) FROM k) AS total, 0.01 AS most FROM k GROUP BY term
+    UNION ALL SELECT 'text', term, CAST(sum(n) AS BIGINT), count(*), (SELECT count(*) FROM c), 0.2 FROM g GROUP BY term),
+  m AS (SELECT field, term, occurrences, records, round(records / total, 9) AS share, CASE WHEN records / total > most THEN 'common' WHEN records = 1 THEN 'rare' END AS mark FROM t)"""
+_P8 = """
+  WITH w AS (SELECT doc_id, unnest(range(1, length(text) - 8)) AS i, unnest(list_transform(range(1, length(text) - 8), lambda i: substr(text, i, 10))) AS g FROM documents WHERE length(text) >= 10),
+  a AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS n FROM w) WHERE n > 1),
+  h AS (SELECT doc_id, count(DISTINCT at_char) AS hit FROM (SELECT doc_id, unnest(range(i, i + 10)) AS at_char FROM a) GROUP BY doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Problems 2, 5, 6 and 7 have none: components, look-alike tables, packing and compatibility forms
+    are no SQL of the oracle's; their tests hold them against brute force."""
+    return {
+        "p1_found": f"{_P1} SELECT DISTINCT rec_kind, rec_id FROM f",
+        "p3_found": f"{_P3} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+        "p3_counts": f"{_P3} SELECT * FROM m",
+        "p8_found": f"{_P8} SELECT d.doc_id FROM documents d JOIN h ON h.doc_id = d.doc_id WHERE hit >= 0.3 * length(text)",
+    }
