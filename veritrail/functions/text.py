@@ -83,14 +83,14 @@ def keywords(text: Column, whole_numbers: bool = False) -> Column:
     ideographs; the head of the text if there are none.
 
     By the original rule digits belong to the first kind of unit only; whole_numbers mends that."""
-    sized = lambda items: between(F.transform(items, trimmed), L.KEYWORD_LEAST, L.KEYWORD_MOST)
     pairs = ("“”", "‘’", "「」", "『』", "《》", '""')
-    quoted = [sized(found(text, f"{p[0]}([^{p}]{{2,}}){p[1]}", 1)) for p in pairs]
+    quoted = [found(text, f"{p[0]}([^{p}]{{2,}}){p[1]}", 1) for p in pairs]
     units = "|".join(L.UNITS)
-    counted = sized(found(text, rf"(?U)[\d.]+(?:{units})" if whole_numbers else rf"(?U)[\d.]+{units}"))
-    phrases = sized(found(text, f"{any_of(L.KEYWORD_VERBS)}[{HAN}]{{2,20}}"))
+    counted = found(text, rf"(?U)[\d.]+(?:{units})" if whole_numbers else rf"(?U)[\d.]+{units}")
+    phrases = found(text, f"{any_of(L.KEYWORD_VERBS)}[{HAN}]{{2,20}}")
+    sized = between(F.transform(F.concat(*quoted, counted, phrases), trimmed), L.KEYWORD_LEAST, L.KEYWORD_MOST)
     runs = F.slice(longest_first(found(text, f"[{HAN}]{{4,40}}")), 1, L.RUNS_KEPT)
-    keys = F.slice(longest_first(F.array_distinct(F.concat(*quoted, counted, phrases, runs))), 1, L.KEYWORDS_KEPT)
+    keys = F.slice(longest_first(F.array_distinct(F.concat(sized, runs))), 1, L.KEYWORDS_KEPT)
     head = F.when(trimmed(text) != "", F.array(F.substring(text, 1, L.FALLBACK))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(keys) > 0, keys).otherwise(head)
 

@@ -21,7 +21,7 @@ _STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, text of all *.txt below a folder, once a path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
