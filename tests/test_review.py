@@ -53,6 +53,13 @@ def test_repaired_json(spark):
     assert [bool(r["r"]) and r["r"][0]["verdict"] == "confirmed" for r in rows] == [True] * 4 + [False] * 3
 
 
+def test_model_claims(spark):
+    answer = json.dumps({"claims": [{"text": " 获批国家项目3项 ", "entities": [" 甲 ", ""]}, {"text": "短"}, {"text": "获批国家项目3项", "kind": "x"}]}, ensure_ascii=False)
+    rows = [(1, 0, f"```json\n{answer}\n```"), (2, 0, answer), (2, 1, None), (3, 0, '[{"表述内容": "没有数字的一条声明", "类型": "定性"}]'), (4, 0, "no json")]
+    got = adjudicate.model_claims(spark.createDataFrame(rows, "doc_id int, part_no int, answer string"), "doc_id").collect()
+    assert {(r["doc_id"], r["claim_text"], r["kind"], tuple(r["numbers"]), tuple(r["entities"])) for r in got} == {(1, "获批国家项目3项", "定量", ("3项",), ("甲",)), (3, "没有数字的一条声明", "定性", (), ())}
+
+
 def test_report(spark):
     df = claims(spark)
     rows = [(r["section"], r["item_no"], r["claim_id"]) for r in report.sectioned(df).orderBy("section_no", "item_no").collect()]

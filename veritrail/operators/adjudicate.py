@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import text as T
 from .claims import batches
 
 # Verdicts and the status that each stands for; the second line are the names used in llm_verdicts.
@@ -86,6 +87,31 @@ def repaired(answer: Column, schema: str = ANSWERS) -> Column:
     return F.coalesce(as_object(body), as_object(inner))
 
 
+CLAIMS_ANSWER = "results array<struct<text:string,numbers:array<string>,entities:array<string>,kind:string>>"
+
+
+def model_claims(answers: DataFrame, text_id: str) -> DataFrame:
+    """text_id, part_no, answer -> text_id, claim_text, kind, numbers, entities: the claims that a model named
+    in its answers on a text's parts, in their order, once each.
+
+    Claims of fewer than six characters are left out, so are blank numbers and names; where the model
+    names no numbers they are taken from the text. A text of which any part failed (null answer) has no rows
+    here: it goes to the extraction without a model (offline_claims)."""
+    failed = answers.filter("answer is null").select(text_id).distinct()
+    body = F.regexp_replace(F.regexp_replace("answer", '"claims"', '"results"'), '"表述"', '"results"')
+    for original, name in (("表述内容", "text"), ("命中数字", "numbers"), ("命中实体", "entities"), ("类型", "kind")):
+        body = F.replace(body, F.lit(f'"{original}"'), F.lit(f'"{name}"'))
+    rows = answers.join(failed, text_id, "left_anti").select(text_id, "part_no", F.posexplode(repaired(body, CLAIMS_ANSWER)).alias("at", "c"))
+    text = T.trimmed(F.col("c.text"))
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), T.trimmed), lambda x: x != "")
+    named = clean(F.col("c.numbers"))
+    numbers = F.when(F.size(named) > 0, named).otherwise(T.numbers(text))
+    rows = rows.filter(F.length(text) >= 6).select(text_id, "part_no", "at", text.alias("claim_text"), numbers.alias("numbers"), clean(F.col("c.entities")).alias("entities"), F.col("c.kind").alias("kind"))
+    first = rows.groupBy(text_id, "claim_text").agg(F.min_by(F.struct("numbers", "entities", "kind"), F.struct("part_no", "at")).alias("f"))
+    kind = F.coalesce(F.col("f.kind"), F.when(F.size("f.numbers") > 0, "定量").otherwise("定性"))
+    return first.select(text_id, "claim_text", kind.alias("kind"), "f.numbers", "f.entities")
+
+
 def apply_verdicts(claims: DataFrame, verdicts: DataFrame, batch: bool = True) -> DataFrame:
     """claims (claim_id, status, ..., snippet) and verdicts (claim_id, verdict, citation, reasoning,
     verifiable) -> claim_id, status, citation, reasoning, verifiable, note.

@@ -7,7 +7,6 @@ join of the distinct terms with the texts; what follows are equi-joins on the te
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -212,7 +211,3 @@ def check_claims(claims: DataFrame, chunks: DataFrame, ranked: DataFrame | None
     quoted = F.when(F.col("found"), F.concat(F.col("source"), F.lit(": ..."), F.col("snippet"), F.lit("...")))
     return judged.withColumns({"context_brief": F.left(F.col("snippet"), F.lit(L.BRIEF)), "snippet": quoted, "matched_keyword": F.col("keyword")}).drop("keyword")
 
-
-def first_per_source(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key the last by order, as an index built in that order keeps it."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")

@@ -56,6 +56,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Remove the tables that materialize() and the persistent counts have left; results read from them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veritrail")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once a context, so that they can load its functions wherever they run."""
     context = spark.sparkContext
