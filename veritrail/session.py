@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the cluster names none (local runs, tests) a temporary folder is set.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
