@@ -42,9 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='veritrail-')}"
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='veritrail-')}")
+    return jsc.getCheckpointDir().get().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
