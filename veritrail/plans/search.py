@@ -1,6 +1,7 @@
 """Queries that look claims up in reference texts.
 
-As a search, each asks for the claims whose id is divisible by 100 against all chunks."""
+The checks take every claim. Only the retrieval queries (claim_status_retrieved, bm25_phrase_rank, like_rank,
+rrf_fusion, anchor_penalty) are searches, with the claims whose id is divisible by 100 for their query set."""
 
 from __future__ import annotations
 
@@ -17,13 +18,18 @@ from ..sources import checks, chunks, words
 from . import sql as S
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
     """claim_id, claim_text, numbers, entities as stored, and sub_claims taken from the text."""
     pattern = T.category_pattern(C.category_words(words(spark, sf_dir)))
-    rows = checks(spark, sf_dir, "claim_id", "claim_text", "numbers", "entities").filter("claim_id % 100 = 0")
+    rows = checks(spark, sf_dir, "claim_id", "claim_text", "numbers", "entities")
     return rows.select("claim_id", "claim_text", "numbers", "entities", T.clauses(F.col("claim_text"), pattern).alias("sub_claims"))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of the retrieval queries."""
+    return every(spark, sf_dir).filter("claim_id % 100 = 0")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir, "chunk_id", "source_path", "source", "text")
 
@@ -34,7 +40,7 @@ def _facts(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, texts = asked(spark, sf_dir), corpus(spark, sf_dir)
+    claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
     hits = contains_join(verify.claim_keywords(claims).select(F.col("keyword").alias("term")), texts, "chunk_id")
     return verify.matches(claims, hits, verify.term_facts(hits, texts), texts)
 
@@ -48,7 +54,7 @@ def snippet_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = asked(spark, sf_dir)
+    claims = every(spark, sf_dir)
     terms = verify.clause_keywords(verify.claim_clauses(claims)).select("term")
     return verify.clause_support(claims, _facts(spark, sf_dir, terms)).select("claim_id", "clause_no", "clause", "anchored", "supported")
 
@@ -62,19 +68,19 @@ def subclaim_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = asked(spark, sf_dir)
+    claims = every(spark, sf_dir)
     covered = verify.entity_coverage(claims, _facts(spark, sf_dir, verify.claim_entities(claims).select(F.col("entity").alias("term"))))
     return covered.withColumn("coverage", F.round("coverage", 6))
 
 
 def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = asked(spark, sf_dir)
+    claims = every(spark, sf_dir)
     present = verify.number_presence(claims, _facts(spark, sf_dir, verify.claim_numbers(claims).select(F.col("number").alias("term"))))
     return present.filter("not present").select("claim_id", "number").distinct()
 
 
 def cooccurrence_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, texts = asked(spark, sf_dir), corpus(spark, sf_dir)
+    claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
     terms = verify.claim_keywords(claims).select(F.col("keyword").alias("term")).unionByName(verify.claim_entities(claims).select(F.col("entity").alias("term")))
     hits = materialize(contains_join(terms, texts, "chunk_id"), "hits")
     facts = verify.term_facts(hits, texts)
@@ -82,13 +88,13 @@ def cooccurrence_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def growth_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, texts = asked(spark, sf_dir), corpus(spark, sf_dir)
+    claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
     terms = verify.claim_numbers(claims).select(F.col("number").alias("term")).filter("endswith(term, '%')")
     return verify.growth_context(claims, contains_join(terms, texts, "chunk_id"), texts)
 
 
 def keyword_generality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, texts = asked(spark, sf_dir), corpus(spark, sf_dir)
+    claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
     hits = contains_join(verify.claim_keywords(claims).select(F.col("keyword").alias("term")), texts, "chunk_id")
     facts = verify.term_facts(hits, texts)
     return verify.keyword_generality(verify.matches(claims, hits, facts, texts), facts, texts)
@@ -99,7 +105,7 @@ _STATUS = ("claim_id", "status", "source", "matched_keyword", "n_clauses", "n_su
 
 def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, warnings and facts of each claim, the match found by plain search."""
-    checked = verify.check_claims(asked(spark, sf_dir), corpus(spark, sf_dir))
+    checked = verify.check_claims(every(spark, sf_dir), corpus(spark, sf_dir))
     return checked.select(*_STATUS, F.concat_ws("; ", "codes").alias("codes"))
 
 
@@ -128,7 +134,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terms(spark, sf_dir)
+    return retrieval.search_terms(every(spark, sf_dir))
 
 
 def bm25_phrase_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
