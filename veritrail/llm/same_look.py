@@ -1,8 +1,10 @@
 """Problem 5: one form for texts that look the same, by DuckDB SQL inside Arrow partitions.
 
-Steps of the SQL, in this order: invisible characters and variation selectors go; characters are
-translated to the one that they look like; combining marks are composed (nfc_normalize, which also maps
-CJK compatibility ideographs). Translation covers width forms, kinds of space, radicals, and look-alike
+Steps of the SQL, in this order: invisible characters and variation selectors go; half-width kana become
+wide; combining marks are composed (nfc_normalize, which also maps CJK compatibility ideographs), so that
+canonical equivalents are one before anything is translated; characters are translated to the one that
+they look like; what the translation left to compose is composed. Every text is composed, so that a
+character's form doesn't depend on the rest of the text. Translation covers width forms, kinds of space, radicals, and look-alike
 letters, kana and ideographs. What looks different stays different: raised figures, missing accents,
 letter case, other digits and words.
 
@@ -57,6 +59,11 @@ def look_map() -> dict[str, str]:
             seen.add(out)
             out = first[out]
         resolved[c] = unicodedata.normalize("NFC", out)
+    composed = [(chr(c), chr(int(d[0], 16)), chr(int(d[1], 16))) for c in range(0x110000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and not d[0].startswith("<")]
+    more = True
+    while more:  # a letter with its mark looks like the other letter with that mark
+        more = {c: out for c, base, mark in composed if c not in resolved and base in resolved and len(out := unicodedata.normalize("NFC", resolved[base] + mark)) == 1 and out != c}
+        resolved |= more
     return {c: out for c, out in resolved.items() if c != out}
 
 
@@ -90,12 +97,14 @@ def look_sql(column: str = "text", source: str = "texts", keep: str = "item") ->
     spelled = "s1"
     for c, out in ligatures.items():
         spelled = f"replace({spelled}, {_quoted(c)}, {_quoted(out)})"
-    composed = "\\x{300}-\\x{36F}\\x{3099}\\x{309A}\\x{F900}-\\x{FAFF}\\x{1100}-\\x{11FF}\\x{2126}\\x{212A}\\x{212B}"
+    kana = "".join(map(chr, range(0xFF66, 0xFFA0)))
+    wide = f"CASE WHEN regexp_matches(v, '[\\x{{FF66}}-\\x{{FF9F}}]') THEN translate(v, {_quoted(kana)}, {_quoted(unicodedata.normalize('NFKD', kana))}) ELSE v END"
     return f"""
-      WITH s0 AS (SELECT {keep}, {visible} AS s0 FROM {source}),
+      WITH v AS (SELECT {keep}, {visible} AS v FROM {source}),
+      s0 AS (SELECT {keep}, nfc_normalize({wide}) AS s0 FROM v),
       s1 AS (SELECT {keep}, CASE WHEN regexp_matches(s0, '{_class(_ranges(rest))}') THEN translate(s0, {table(rest)}) ELSE s0 END AS s1 FROM s0),
       s2 AS (SELECT {keep}, translate(CASE WHEN regexp_matches(s1, '[\\x{{FB00}}-\\x{{FB06}}]') THEN {spelled} ELSE s1 END, {table(often)}) AS s2 FROM s1)
-      SELECT {keep}, CASE WHEN regexp_matches(s2, '[{composed}]') THEN nfc_normalize(s2) ELSE s2 END AS look FROM s2"""
+      SELECT {keep}, nfc_normalize(s2) AS look FROM s2"""
 
 
 def _same_look() -> object:
