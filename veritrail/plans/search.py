@@ -155,8 +155,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchor_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, texts = asked(spark, sf_dir), corpus(spark, sf_dir)
-    fused = retrieval.fuse(retrieval.search_terms(claims), retrieval.bm25(retrieval.phrase_hits(_terms(spark, sf_dir).filter("length(replace(term, ' ', '')) >= 3").select("term"), texts), texts))
-    return retrieval.penalised(fused, claims, texts).groupBy("claim_id", "penalised").agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.max("score"), 6).alias("best"))
+    return retrieval.scores(claims, texts).groupBy("claim_id", "penalised").agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.max("score"), 6).alias("best"))
 
 
 QUERIES = (
