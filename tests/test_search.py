@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from veritrail.functions import lexicon as L
 from veritrail.functions import text as T
 from veritrail.operators import chunking, retrieval, verify
-from veritrail.operators.containment import contains_join
+from veritrail.operators.containment import HEAD, contains_join, levelled
+from veritrail.operators.documents import pieces
+from veritrail.operators.membership import membership
 
 
 def test_contains_join(spark):
@@ -18,13 +20,64 @@ def test_contains_join(spark):
     terms = {"".join(rng.choice("甲乙丙aA.%😀") for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 5)} | {"%", "aa"}
     t = spark.createDataFrame([(x,) for x in terms] + [(None,), ("",), ("aa",)], "term string").withColumn("gram", F.lit(0))
     d = spark.createDataFrame(texts, "chunk_id bigint, text string").withColumn("levelled", F.lit("clash"))
-    got = {(r["term"], r["chunk_id"]): r["n_found"] for r in contains_join(t, d, "chunk_id").collect()}
-    assert got == {(x, k): y.count(x) for x in terms for k, y in texts if y and x in y}
+    got = {(r["term"], r["chunk_id"]): (r["n_found"], r["places"]) for r in contains_join(t, d, "chunk_id").collect()}
+    places = lambda x, y: [i + 1 for i in range(len(y)) if y.startswith(x, i)]
+    assert got == {(x, k): (y.count(x), places(x, y)) for x in terms for k, y in texts if y and x in y}
     got = {(r["term"], r["chunk_id"]): (r["n_found"], r["n_exact"]) for r in contains_join(t, d, "chunk_id", ignore_case=True).collect()}
     assert got == {(x, k): (y.lower().count(x.lower()), y.count(x)) for x in terms for k, y in texts if y and x.lower() in y.lower()}
     assert contains_join(t.limit(0), d, "chunk_id").count() == 0 and contains_join(t, d.limit(0), "chunk_id").count() == 0
 
 
+def test_long_terms_and_repeated_texts(spark):
+    rng = random.Random(3)
+    body = "".join(rng.choice("甲乙丙丁戊") for _ in range(5000))
+    terms = [body[a : a + n] for a, n in ((0, HEAD), (10, HEAD + 1), (300, 400), (4000, 1000))] + [body[:HEAD] + "己", "A" + body[:100]]
+    texts = [(1, "x", body), (1, "x", body), (2, "y", None), (3, "z", "a" + body)]
+    d = spark.createDataFrame(texts, "k bigint, name string, text string")
+    t = spark.createDataFrame([(x,) for x in terms], "term string")
+    expected = lambda f: {(x, k): [i + 1 for i in range(len(y)) if f(y).startswith(f(x), i)] for x in terms for k, _, y in texts if y and f(x) in f(y)}
+    assert {(r["term"], r["k"]): r["places"] for r in contains_join(t, d, "k", "name").collect()} == expected(str)
+    assert {(r["term"], r["k"]): r["places"] for r in contains_join(t, d, "k", "name", ignore_case=True).collect()} == expected(levelled)
+    assert levelled("İA") == "İa"
+
+
+def test_membership_loses_nothing(spark):
+    keys = [k * 7919 - 3 for k in range(5000)]
+    known = membership(spark.createDataFrame([(k,) for k in keys], "key bigint"), "key", len(keys)).value
+    import numpy as np
+
+    assert known(np.array(keys, np.int64)).size == len(keys)
+    assert known(np.arange(10**7, 10**7 + 100000, dtype=np.int64)).size < 200
+    assert membership(spark.createDataFrame([], "key bigint"), "key", 0).value(np.arange(9, dtype=np.int64)).size == 0
+
+
+def test_pieces_by_force(spark):
+    rng = random.Random(4)
+    rows, wholes = [], {}
+    for source in "abc":
+        parts, at = [], rng.randint(0, 30)
+        for _ in range(40):
+            parts.append((at, "".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randint(0, 60)))))
+            at = max(0, at + rng.randint(-5, 60))
+        text = ""
+        for offset, part in sorted(parts, key=lambda p: (p[0], -len(p[1]), p[1])):
+            if offset + len(part) > len(text):
+                text = text + "\n" * (offset - len(text)) + part[max(0, len(text) - offset) :]
+        wholes[source] = text
+        rows += [(source, o, p) for o, p in parts]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows + [("n", 0, None), ("e", 5, ""), ("z", None, "甲")], "source_path string, chunk_offset int, text string").withColumn("own", F.lit(0))
+    got = {}
+    for r in pieces(df, 16, 7, 11, 64).collect():
+        start = r["piece_no"] * 16
+        text = wholes.get(r["source_path"], "甲")
+        # the newlines of a gap that a stretch ends in are left out
+        assert r["text"].rstrip("\n") == text[start - r["lead"] : start + 16 + 11].rstrip("\n") and r["lead"] == (0 if start == 0 else 7), (r, text)
+        got.setdefault(r["source_path"], {}).update(enumerate(r["text"][r["lead"] : r["lead"] + r["own"]], start))
+    assert {k: "".join(v.get(n, "\n") for n in range(max(v) + 1)) for k, v in got.items()} == wholes | {"z": "甲"}
+    assert pieces(df.limit(0)).count() == 0
+
+
 def windows_by_force(text, target, overlap, crawl):
     import re
 
@@ -59,7 +112,8 @@ def test_windows(spark, crawl):
 
 
 def corpus(spark, *texts):
-    return spark.createDataFrame([(k, f"d{k % 7}", f"d{k % 7}", t) for k, t in enumerate(texts)], "chunk_id bigint, source_path string, source string, text string")
+    rows = [(k, f"d{k % 7}", f"d{k % 7}", 100000 * (k // 7), t) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "chunk_id bigint, source_path string, source string, chunk_offset int, text string")
 
 
 def claim(spark, text, numbers=(), entities=()):
@@ -118,6 +172,53 @@ def test_rules(spark, name):
 def test_retrieved_match_goes_first(spark):
     chunks = corpus(spark, "人工智能项目", "人工智能项目与经费356项，获批人工智能项目")
     asked = claim(spark, "获批人工智能项目356项", ["356项"])
-    ranked = retrieval.candidates(asked, chunks)
-    row = verify.check_claims(asked, chunks, ranked).first()
+    found = retrieval.search(asked, chunks, verify.claim_keywords(asked).select(F.col("keyword").alias("term")))
+    row = verify.check_claims(asked, chunks, found).first()
     assert row["source"] == "d1" and row["status"] == L.CONFIRMED
+    assert [c["source"] for c in row["candidates"]] == ["d1", "d0"] and row["candidates"][0]["text"] == "人工智能项目与经费356项，获批人工智能项目"
+
+
+def one_source(spark, *parts):
+    """A source in chunks (offset, text)."""
+    return spark.createDataFrame([(k, "d", None, at, t) for k, (at, t) in enumerate(parts)], "chunk_id bigint, source_path string, source string, chunk_offset int, text string")
+
+
+def test_evidence_across_the_edge_of_a_chunk(spark):
+    asked = claim(spark, "金融大模型实验室入选国家重大项目名单", entities=["金融大模型实验室"])
+    front, behind = "甲" * 900 + "金融大模型实验室" + "乙" * 100, "丙" * 80 + "入选国家重大项目名单" + "丁" * 30
+    row = verify.check_claims(asked, one_source(spark, (0, front), (len(front), behind))).first()
+    assert row["status"] == L.CONFIRMED and row["source"] == "d", row
+    # the keyword itself lies across the edge
+    text = front + behind
+    at = text.index("入选国家重大项目名单") + 5
+    row = verify.check_claims(asked, one_source(spark, (0, text[:at]), (at, text[at:]))).first()
+    assert row["status"] == L.CONFIRMED and "入选国家重大项目名单" in row["snippet"]
+    far = verify.check_claims(asked, one_source(spark, (0, front), (len(front) + 300, behind))).first()
+    assert far["status"] == L.INCONSISTENT and [w["code"] for w in far["warnings"]] == far["codes"] == ["ENTITY_MISATTRIBUTED"]
+    assert "金融大模型实验室（见于d）" in far["warnings"][0]["detail"]
+
+
+def test_overlaps_count_once(spark):
+    """Twelve occurrences in two chunks that overlap by ten of them are twelve, not twenty-two."""
+    key = "获批人工智能相关的内容"
+    text = key * 12
+    cut = 2 * len(key)
+    texts = one_source(spark, (0, text), (cut, text[cut:])).unionByName(spark.createDataFrame([(9 + k, f"e{k}", None, 0, "别的") for k in range(6)], "chunk_id bigint, source_path string, source string, chunk_offset int, text string"))
+    row = verify.check_claims(claim(spark, key), texts).first()
+    assert row["n_found"] == 12 and not row["generic"] and row["status"] == L.CONFIRMED
+
+
+def test_distance_by_force(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["子丑寅", "卯辰巳", "午" * rng.randint(1, 250)]) for _ in range(60))
+    texts = one_source(spark, *((a, text[a : a + 400]) for a in range(0, len(text), 300)))
+    asked = spark.createDataFrame([(1, "x", ["卯辰巳"])], "claim_id bigint, claim_text string, entities array<string>")
+    terms = spark.createDataFrame([("子丑寅",), ("卯辰巳",)], "term string")
+    hits = verify.document_hits(terms, verify.whole_texts(texts, terms))
+    facts = verify.term_facts(verify.term_places(hits))
+    matched = spark.createDataFrame([(1, "子丑寅")], "claim_id bigint, keyword string")
+    places = lambda x: [i for i in range(len(text)) if text.startswith(x, i)]
+    least = min(abs(a - b) for a in places("子丑寅") for b in places("卯辰巳"))
+    for radius in (least - 1, least, least + 1, 40):
+        if radius > 0:
+            assert (verify.misattributed(asked, matched, hits, facts, radius).count() == 0) == (radius >= least)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon as L
 
+# Patterns and bounds that decide results stand where they are used, in this module and in lexicon.
 HAN = "一-鿿"
 
 
@@ -126,17 +127,11 @@ def exact_terms(number_list: Column, entity_list: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda t: t != ""))
 
 
-def occurrences(text: Column, key: Column) -> Column:
-    """How often key stands in text, without overlaps."""
-    return F.when(F.length(key) > 0, ((F.length(text) - F.length(F.replace(text, key, F.lit("")))) / F.length(key)).cast("int")).otherwise(0)
-
-
-def positions(text: Column, key: Column) -> Column:
-    """1-based places of key in text, without overlaps: running sums over the parts between them."""
-    parts = F.split(text, F.concat(F.lit(r"\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    start = F.array().cast("array<int>")
-    step = lambda acc, part: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.length(key), F.lit(1)) + F.length(part)))
-    return F.slice(F.aggregate(parts, start, step), 1, F.size(parts) - 1)
+def apart(places: Column, width: Column) -> Column:
+    """How many of the places (in order) of a string of that width don't overlap, taken from the left; one pass."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("free"))
+    step = lambda acc, p: F.when(p >= acc["free"], F.struct((acc["n"] + 1).alias("n"), (p + width).cast("int").alias("free"))).otherwise(acc)
+    return F.aggregate(places, start, step, lambda acc: acc["n"])
 
 
 def attribute_words(text: Column, entity: Column, window: int = L.ATTRIBUTE_WINDOW) -> Column:

@@ -1,15 +1,21 @@
-"""Which terms stand in which texts: the join on containment, without a nested loop.
+"""Which terms stand in which texts, and where: the join on containment, without a nested loop.
 
-A term can only stand in a text that has all of the term's character n-grams. Grams of up to three
-characters fit into a long (21 bits a code point), so that the texts' postings are pairs of longs. Postings
-of grams that no term has are dropped by a semi-join at once; each term is then looked up by its rarest gram
-(the anchor), by an equi-join, and what meets is verified. Catalyst takes the smaller side for a broadcast
-by its measured size, or shuffles both where neither is small.
+A term can only stand where its grams of three characters stand (a shorter term is its own gram). Grams fit
+into a long (21 bits a code point).
+
+1. One scan of the texts counts the grams that terms have, added up within each task before anything is shuffled.
+2. Each term is sought by its rarest gram, the anchor, at a known place in the term.
+3. A second scan gives out the places of anchors only, each with the characters around it: a filter of bounded
+   size in the scan keeps all other grams from being shuffled. The join on the gram then compares the term with those
+   characters and has its place at once, so texts are neither shuffled nor read a third time.
+
+Only terms longer than HEAD are found by their first HEAD characters and compared with the text itself afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,70 +23,146 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrences
+from ..functions.text import apart
 from ..session import materialize
+from .membership import membership
 
-GRAM = 3
+GRAM, HEAD = 3, 64
 
 
-def packed_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, gram) of all grams of `size` characters, without repeats in neighbouring texts' runs."""
+def packed_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place (from 0) and gram of all grams of `size` characters."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     if codes.size < size:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     gram = codes[: codes.size - size + 1].copy()
     for k in range(1, size):
         gram = gram << 21 | codes[k : codes.size - size + 1 + k]
     text_of = np.repeat(np.arange(len(texts)), lengths)
-    inside = text_of[: gram.size] == text_of[size - 1 :]
-    return text_of[: gram.size][inside], gram[inside]
+    place = np.arange(codes.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    inside = np.flatnonzero(text_of[: gram.size] == text_of[size - 1 :])
+    return text_of[inside], place[inside], gram[inside]
+
+
+@cache
+def _lower() -> dict[int, str]:
+    return {c: low for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(low := chr(c).lower()) == 1 and low != chr(c)}
+
+
+def levelled(text: str) -> str:
+    """Lower case, character by character, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_lower())
+
+
+def _shares(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """The texts (null as empty) in runs of about `most` characters, with the number of the first."""
+    low, held = 0, 0
+    for high in range(1, len(texts) + 1):
+        held += len(texts[high - 1] or "")
+        if held >= most or high == len(texts):
+            yield low, [t or "" for t in texts[low:high]]
+            low, held = high, 0
+
+
+def _term_grams(ignore_case: bool):
+    schema = pa.schema([("term", pa.string()), ("sought", pa.string()), ("at", pa.int32()), ("gram", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = np.array(batch.column("term").to_pylist(), object)
+            sought = np.array([levelled(t) if ignore_case else t for t in terms], object)
+            for size in range(1, GRAM + 1):
+                mine = np.flatnonzero([min(GRAM, len(t)) == size for t in sought]) if terms.size else np.empty(0, np.int64)
+                if mine.size:
+                    term, at, gram = packed_grams([t[:HEAD] for t in sought[mine]], size)
+                    yield pa.record_batch([pa.array(terms[mine[term]], pa.string()), pa.array(sought[mine[term]], pa.string()), pa.array(at.astype(np.int32)), pa.array(gram)], schema=schema)
+
+    return run
 
 
-def _grams(sizes: list[int], most: int = 1 << 20):
-    schema = pa.schema([("id", pa.int64()), ("gram", pa.int64())])
+def _frequencies(known, ignore_case: bool, most: int = 1 << 20):
+    schema = pa.schema([("gram", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, times = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            low, held = 0, 0
-            for high in range(1, len(texts) + 1):
-                held += len(texts[high - 1])
-                if held < most and high < len(texts):
-                    continue
+            for _, texts in _shares(batch.column(0).to_pylist()):
+                _, _, gram = packed_grams([levelled(t) for t in texts] if ignore_case else texts, GRAM)
+                new, count = np.unique(gram[known.value(gram)], return_counts=True)
+                every, where = np.unique(np.r_[grams, new], return_inverse=True)
+                grams, times = every, np.bincount(where, weights=np.r_[times, count], minlength=every.size).astype(np.int64)
+                if grams.size > most:
+                    yield pa.record_batch([pa.array(grams), pa.array(times)], schema=schema)
+                    grams, times = grams[:0], times[:0]
+        yield pa.record_batch([pa.array(grams), pa.array(times)], schema=schema)
+
+    return run
+
+
+def _places(known, sizes: list[int], ignore_case: bool, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.drop_columns(["text"])
+            for low, texts in _shares(batch.column("text").to_pylist()):
+                level = [levelled(t) for t in texts] if ignore_case else texts
                 for size in sizes:
-                    text_of, gram = packed_grams(texts[low:high], size)
-                    yield pa.record_batch([pa.array(ids[low:high][text_of]), pa.array(gram)], schema=schema)
-                low, held = high, 0
+                    number, place, gram = packed_grams(level, size)
+                    hit = known.value(gram)
+                    number, place = number[hit], place[hit]
+                    around = [level[n][max(0, p - HEAD) : p + HEAD] for n, p in zip(number.tolist(), place.tolist())] if size == GRAM else [None] * hit.size
+                    # as written: only where that differs from the levelled characters
+                    written = [None] * hit.size
+                    if ignore_case:
+                        written = [texts[n][max(0, p - HEAD) : p + HEAD] if texts[n] is not level[n] and texts[n] != level[n] else None for n, p in zip(number.tolist(), place.tolist())]
+                    extra = [pa.array(gram[hit]), pa.array(place.astype(np.int32)), pa.array(around, pa.string()), pa.array(written, pa.string()), pa.array([len(texts[n]) for n in number.tolist()], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*keys.take(pa.array(number + low)).columns, *extra], schema=schema)
 
     return run
 
 
-def contains_join(terms: DataFrame, texts: DataFrame, text_id: str, ignore_case: bool = False) -> DataFrame:
-    """terms (term), texts (text_id bigint, text) -> term, text_id, n_found, n_exact, n_chars: each distinct
-    term and the texts that contain it, with its occurrences (not overlapping), those as written, and the
-    text's length.
-
-    Null and empty terms and null texts meet nothing. `ignore_case` finds and counts terms in either case."""
-    level = F.lower if ignore_case else lambda c: c
-    spark = terms.sparkSession
-    terms = terms.select("term").filter("term is not null and term <> ''").distinct()
-    terms = materialize(terms.select(F.xxhash64("term").alias("term_id"), "term", level(F.col("term")).alias("sought"), F.least(F.lit(GRAM), F.length(level(F.col("term")))).alias("size")), "terms")
-    sizes = sorted(r[0] for r in terms.select("size").distinct().collect()) or [GRAM]  # one, two, three
-    sought = None
-    for size in sizes:
-        own = terms.filter(F.col("size") == size).select("term_id", "sought").mapInArrow(_grams([size]), "term_id bigint, gram bigint")
-        sought = own if sought is None else sought.unionByName(own)
-    sought = materialize(sought.distinct(), "term-grams")
-    texts = texts.select(F.col(text_id).cast("bigint").alias(text_id), "text").filter("text is not null")
-    # by number, so that the little that small texts weigh isn't put into one task: grams and hits are many times their texts
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.select(text_id, "text", level(F.col("text")).alias("levelled")).repartition(parts, text_id)
-    postings = spread.select(text_id, "levelled").mapInArrow(_grams(sizes), f"{text_id} bigint, gram bigint")
-    held = materialize(postings.join(sought.select("gram").distinct(), "gram", "left_semi"), "postings")
-    frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = F.row_number().over(W.partitionBy("term_id").orderBy("texts", "gram"))
-    anchors = sought.join(frequency, "gram").withColumn("_rank", rarest).filter("_rank = 1").select("term_id", "gram")
-    met = anchors.join(held, "gram").select("term_id", text_id).distinct().join(terms.select("term_id", "term", "sought"), "term_id")
-    rows = met.repartition(parts, text_id).join(spread, text_id).filter(F.contains("levelled", "sought"))
-    return rows.select("term", text_id, occurrences(F.col("levelled"), F.col("sought")).alias("n_found"), occurrences(F.col("text"), F.col("term")).alias("n_exact"), F.length("text").alias("n_chars"))
+def contains_join(terms: DataFrame, texts: DataFrame, *keys: str, ignore_case: bool = False) -> DataFrame:
+    """terms (term), texts (keys, text) -> term, keys, places, n_found, n_exact, n_chars: each distinct term and
+    the texts that contain it, with the places of its occurrences (from 1, in order, also those that overlap), the number
+    of occurrences that don't overlap, of those as written, and the text's length.
+
+    Null and empty terms and null texts meet nothing. The keys tell texts apart: rows that share them and their text
+    are one text. `ignore_case` finds and counts terms in either case, character by character."""
+    terms = materialize(terms.select("term").filter("term is not null and term <> ''").distinct(), "terms")
+    grams = materialize(terms.mapInArrow(_term_grams(ignore_case), "term string, sought string, at int, gram bigint"), "term-grams")
+    texts = texts.select(*keys, "text").filter("text is not null")
+    sized = F.least(F.length("sought"), F.lit(GRAM)).alias("size")
+    counts = {r["size"]: r["n"] for r in grams.groupBy(sized).agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows at most
+    sizes = sorted(counts) or [GRAM]
+    whole = grams.filter(F.length("sought") < GRAM).select("term", "sought", "at", "gram")
+    long = grams.filter(F.length("sought") >= GRAM)
+    if GRAM in counts:
+        known = membership(long, "gram", counts[GRAM])
+        frequency = texts.select("text").mapInArrow(_frequencies(known, ignore_case), "gram bigint, times bigint").groupBy("gram").agg(F.sum("times").alias("times"))
+        rarest = F.row_number().over(W.partitionBy("term").orderBy("times", "gram", "at"))
+        # a gram that no text has keeps its term from being found at all
+        scored = long.join(frequency, "gram", "left").withColumn("_rank", rarest).filter("_rank = 1 and times is not null")
+        whole = whole.unionByName(scored.select("term", "sought", "at", "gram"))
+    anchors = materialize(whole, "anchors")
+    known = membership(anchors, "gram", anchors.count())
+    types = texts.select(*keys).limit(0).toArrow().schema
+    schema = pa.schema([*types, ("gram", pa.int64()), ("place", pa.int32()), ("around", pa.string()), ("written", pa.string()), ("n_chars", pa.int32())])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+    found = texts.mapInArrow(_places(known, sizes, ignore_case, schema), f"{columns}, gram bigint, place int, around string, written string, n_chars int").join(anchors, "gram")
+    width = F.least(F.length("sought"), F.lit(HEAD))
+    lead = F.least("place", F.lit(HEAD))
+    cut = lambda c: F.substring(F.col(c), lead - F.col("at") + 1, width)
+    stands = F.when(F.col("around").isNull(), True).otherwise((lead >= F.col("at")) & (cut("around") == F.left("sought", width)))
+    short = F.substring(F.col("written"), lead + 1, width)
+    as_written = F.when(F.col("around").isNull(), F.coalesce(short, "sought")).otherwise(F.coalesce(cut("written"), cut("around"))) == F.left("term", width)
+    found = found.filter(stands).select("term", "sought", *keys, "n_chars", (F.col("place") - F.col("at") + 1).alias("place"), as_written.alias("exact"))
+    if (terms.agg(F.max(F.length("term"))).first()[0] or 0) > HEAD:
+        more = found.filter(F.length("sought") > HEAD).join(texts, list(keys))
+        level = F.lower if ignore_case else lambda c: c
+        part = F.substring(F.col("text"), F.col("place"), F.length("term"))
+        more = more.filter(level(part) == level(F.col("term"))).select("term", "sought", *keys, "n_chars", "place", (part == F.col("term")).alias("exact"))
+        found = found.filter(F.length("sought") <= HEAD).unionByName(more)
+    # a text delivered twice gives the same places twice
+    places = found.groupBy("term", *keys).agg(F.max("n_chars").alias("n_chars"), F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("place")))).alias("_exact"))
+    return places.select("term", *keys, "places", apart(F.col("places"), F.length("term")).alias("n_found"), apart(F.col("_exact"), F.length("term")).alias("n_exact"), "n_chars")

@@ -21,8 +21,11 @@ def match_gold(gold: DataFrame, results: DataFrame) -> DataFrame:
     texts = results.select("claim_id", bare.alias("text"))
     heads = rest.select("item_id", "item", F.left("item", F.lit(LEAST_OVERLAP)).alias("term"))
     met = heads.join(contains_join(heads.select("term"), texts, "claim_id").select("term", "claim_id"), "term").join(texts, "claim_id")
-    sizes = F.sequence(F.lit(LEAST_OVERLAP), F.least(F.length("item"), F.length("text")))
-    overlap = F.array_max(F.filter(sizes, lambda n: F.contains(F.col("text"), F.left(F.col("item"), n))))
+    # a prefix stands in the text if a longer one does: halve the range between what fits and what doesn't, 32 steps at most
+    span = F.struct(F.lit(LEAST_OVERLAP).alias("fits"), (F.least(F.length("item"), F.length("text")) + 1).alias("fails"))
+    middle = lambda s: ((s["fits"] + s["fails"]) / 2).cast("int")
+    halve = lambda s, _: F.when(s["fails"] - s["fits"] <= 1, s).when(F.contains(F.col("text"), F.left(F.col("item"), middle(s))), F.struct(middle(s).alias("fits"), s["fails"].alias("fails"))).otherwise(F.struct(s["fits"].alias("fits"), middle(s).alias("fails")))
+    overlap = F.aggregate(F.sequence(F.lit(1), F.lit(32)), span, halve, lambda s: s["fits"])
     best = met.select("item_id", "claim_id", overlap.alias("overlap")).groupBy("item_id").agg(F.max(F.struct("overlap", (-F.col("claim_id")).alias("least"))).alias("b"))
     return equal.unionByName(best.select("item_id", (-F.col("b.least")).alias("claim_id"), "b.overlap"))
 

@@ -64,20 +64,31 @@ def penalised(fused: DataFrame, claims: DataFrame, chunks: DataFrame) -> DataFra
     return rows.select("claim_id", "chunk_id", F.when(off, F.col("score") * L.PENALTY).otherwise(F.col("score")).alias("score"), "first", off.alias("penalised"))
 
 
-def scores(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """claim_id, chunk_id, score, first, penalised: every chunk that a term of the claim ranks."""
+def scores(claims: DataFrame, chunks: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """claim_id, chunk_id, score, first, penalised: every chunk that a term of the claim ranks. hits: the
+    phrase_hits of the search terms and maybe of others, where they are there already."""
     terms = search_terms(claims)
-    hits = materialize(phrase_hits(terms, chunks), "phrase-hits")
+    hits = materialize(phrase_hits(terms, chunks), "phrase-hits") if hits is None else hits.join(terms.select("term").distinct(), "term", "left_semi")
     long = F.length(F.replace("term", F.lit(" "), F.lit(""))) >= 3
     ranked = bm25(hits.filter(long), chunks).unionByName(counted(hits.filter(~long)))
     return penalised(fuse(terms, ranked), claims, chunks)
 
 
+def ranked(scored: DataFrame, top_k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("claim_id").orderBy(F.desc(F.round("score", 12)), "first", "chunk_id"))
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    return best.select("claim_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 def candidates(claims: DataFrame, chunks: DataFrame, top_k: int = L.TOP_K) -> DataFrame:
     """claims (claim_id, claim_text, numbers, entities), chunks (chunk_id, text) -> claim_id, chunk_id, rank,
     score: the best chunks a claim. Terms of three characters or more (spaces not counted) rank by BM25,
     shorter ones by count. Equal scores go by the term, then the rank, that found the chunk first."""
-    scored = scores(claims, chunks)
-    rank = F.row_number().over(W.partitionBy("claim_id").orderBy(F.desc(F.round("score", 12)), "first", "chunk_id"))
-    best = scored.withColumn("rank", rank).filter(F.col("rank") <= top_k)
-    return best.select("claim_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return ranked(scores(claims, chunks), top_k)
+
+
+def search(claims: DataFrame, chunks: DataFrame, keywords: DataFrame, top_k: int = L.TOP_K) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and the hits of search terms and keywords (term) in the chunks: one scan serves both."""
+    terms = search_terms(claims).select("term").unionByName(keywords.select("term"))
+    hits = materialize(phrase_hits(terms, chunks), "phrase-hits")
+    return materialize(ranked(scores(claims, chunks, hits), top_k), "candidates"), hits

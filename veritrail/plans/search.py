@@ -12,7 +12,6 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import retrieval, verify
-from ..operators.containment import contains_join
 from ..session import materialize
 from ..sources import checks, chunks, words
 from . import sql as S
@@ -31,18 +30,28 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir, "chunk_id", "source_path", "source", "text")
+    return chunks(spark, sf_dir, "chunk_id", "source_path", "source", "chunk_offset", "text")
+
+
+def _placed(terms: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole texts, the places of the terms in them, and the first place by text."""
+    whole = verify.whole_texts(texts, terms)
+    hits = materialize(verify.document_hits(terms, whole), "hits")
+    return whole, hits, materialize(verify.term_places(hits), "places")
 
 
 def _facts(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
-    texts = corpus(spark, sf_dir)
-    return verify.term_facts(contains_join(terms, texts, "chunk_id"), texts)
+    return verify.term_facts(_placed(terms, corpus(spark, sf_dir))[2])
+
+
+def _keywords(claims: DataFrame) -> DataFrame:
+    return verify.claim_keywords(claims).select(F.col("keyword").alias("term"))
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
-    hits = contains_join(verify.claim_keywords(claims).select(F.col("keyword").alias("term")), texts, "chunk_id")
-    return verify.matches(claims, hits, verify.term_facts(hits, texts), texts)
+    whole, _, placed = _placed(_keywords(claims), texts)
+    return verify.matches(claims, placed, verify.term_facts(placed), texts, whole)
 
 
 def match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,23 +90,22 @@ def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cooccurrence_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
-    terms = verify.claim_keywords(claims).select(F.col("keyword").alias("term")).unionByName(verify.claim_entities(claims).select(F.col("entity").alias("term")))
-    hits = materialize(contains_join(terms, texts, "chunk_id"), "hits")
-    facts = verify.term_facts(hits, texts)
-    return verify.misattributed(claims, verify.matches(claims, hits, facts, texts), hits, facts, texts)
+    whole, hits, placed = _placed(_keywords(claims).unionByName(verify.claim_entities(claims).select(F.col("entity").alias("term"))), texts)
+    facts = verify.term_facts(placed)
+    return verify.misattributed(claims, verify.matches(claims, placed, facts, texts, whole), hits, facts)
 
 
 def growth_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
-    terms = verify.claim_numbers(claims).select(F.col("number").alias("term")).filter("endswith(term, '%')")
-    return verify.growth_context(claims, contains_join(terms, texts, "chunk_id"), texts)
+    whole, _, placed = _placed(verify.claim_numbers(claims).select(F.col("number").alias("term")).filter("endswith(term, '%')"), texts)
+    return verify.growth_context(claims, placed, whole)
 
 
 def keyword_generality(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, texts = every(spark, sf_dir), corpus(spark, sf_dir)
-    hits = contains_join(verify.claim_keywords(claims).select(F.col("keyword").alias("term")), texts, "chunk_id")
-    facts = verify.term_facts(hits, texts)
-    return verify.keyword_generality(verify.matches(claims, hits, facts, texts), facts, texts)
+    whole, _, placed = _placed(_keywords(claims), texts)
+    facts = verify.term_facts(placed)
+    return verify.keyword_generality(verify.matches(claims, placed, facts, texts, whole), facts, texts)
 
 
 _STATUS = ("claim_id", "status", "source", "matched_keyword", "n_clauses", "n_supported", "n_entities", "n_misattributed", "n_numbers", "n_missing", "n_growth_misses", "short", "generic", "quoted_found")
@@ -109,10 +117,16 @@ def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(*_STATUS, F.concat_ws("; ", "codes").alias("codes"))
 
 
+def claim_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each warning of each claim with what it is about."""
+    checked = verify.check_claims(every(spark, sf_dir), corpus(spark, sf_dir))
+    return checked.select("claim_id", F.explode("warnings").alias("w")).select("claim_id", "w.code", "w.detail")
+
+
 def claim_status_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, the match taken from the retrieved candidates where one has a keyword."""
     claims, texts = asked(spark, sf_dir), corpus(spark, sf_dir)
-    checked = verify.check_claims(claims, texts, retrieval.candidates(claims, texts))
+    checked = verify.check_claims(claims, texts, retrieval.search(claims, texts, _keywords(claims)))
     return checked.select(*_STATUS, F.concat_ws("; ", "codes").alias("codes"))
 
 
@@ -160,20 +174,21 @@ def anchor_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     match_first, snippet_context, subclaim_semi, subclaim_anti, entity_coverage, missing_numbers, cooccurrence_range, growth_context, keyword_generality,
-    claim_status, claim_status_retrieved, status_cascade, search_terms, bm25_phrase_rank, like_rank, rrf_fusion, anchor_penalty,
+    claim_status, claim_warnings, claim_status_retrieved, status_cascade, search_terms, bm25_phrase_rank, like_rank, rrf_fusion, anchor_penalty,
 )
 
 _KW = f"src AS (SELECT claim_id AS id, claim_text AS txt FROM asked), {S.keywords('src')}"
-_BASE = f"{S.ASKED}, {S.CHUNKS}, {_KW}"
-_MATCH = f"""{_BASE}, m0 AS (SELECT kw.id, min((pos, chunk_id)) AS b FROM kw JOIN once ON contains(text, k) GROUP BY kw.id),
-  m AS (SELECT m0.id AS claim_id, kw.k AS keyword, o.chunk_id, coalesce(o.source, o.source_path) AS source, o.text FROM m0 JOIN kw ON kw.id = m0.id AND kw.pos = b[1] JOIN once o ON o.chunk_id = b[2])"""
-_CLAUSE = f"""cl AS (SELECT id, no, part, anchored FROM clause WHERE independent), cs AS (SELECT id * 1000 + no AS id, part AS txt FROM cl WHERE anchored), {S.keywords('cs', 'ck')},
-  hit AS (SELECT DISTINCT id FROM ck JOIN once ON contains(text, k)),
+_BASE = f"{S.EVERY}, {S.DOCS}, {_KW}"
+_PLAIN = f"""{S.standing('kd', 'SELECT k AS term FROM kw')}, kf AS (SELECT term, min(source_path) AS source_path FROM kd GROUP BY term),
+  m0 AS (SELECT id AS claim_id, min((pos, kf.source_path, k)) AS b FROM kw JOIN kf ON kf.term = k GROUP BY id)"""
+_MATCH = f"""{_BASE}, {_PLAIN}, m AS (SELECT claim_id, b[3] AS keyword, docs.source_path, docs.source, docs.text FROM m0 JOIN docs ON docs.source_path = b[2])"""
+_CLAUSE = f"""cl AS (SELECT id, no, part, anchored FROM clause WHERE independent), cs AS (SELECT id * 1000 + no AS id, part AS txt FROM cl WHERE anchored), {S.keywords('cs', 'ck')}, {S.standing('cd', 'SELECT k AS term FROM ck')},
+  hit AS (SELECT DISTINCT id FROM ck WHERE k IN (SELECT term FROM cd)),
   support AS (SELECT cl.id AS claim_id, CAST(no AS INTEGER) AS clause_no, part AS clause, anchored, NOT anchored OR hit.id IS NOT NULL AS supported FROM cl LEFT JOIN hit ON hit.id = cl.id * 1000 + no)"""
 _CLAUSES = f"{S.category_cte()}, {S.clauses('src')}, {_CLAUSE}"
-_VALID = f"ve AS (SELECT claim_id, claim_text, e AS entity FROM (SELECT claim_id, claim_text, unnest(entities) AS e FROM asked) WHERE {S.valid_entity('e')})"
-_COVER = f"{_VALID}, cov AS (SELECT claim_id, count(*) AS n_entities, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM once WHERE contains(text, entity))) AS n_covered FROM ve GROUP BY claim_id)"
-_NUMS = "nu AS (SELECT claim_id, unnest(numbers) AS number FROM asked), np AS (SELECT claim_id, number, EXISTS (SELECT 1 FROM once WHERE contains(text, number)) AS present FROM nu)"
+_VALID = f"ve AS (SELECT claim_id, claim_text, e AS entity FROM (SELECT claim_id, claim_text, unnest(entities) AS e FROM asked) WHERE {S.valid_entity('e')}), {S.standing('ed', 'SELECT entity AS term FROM ve')}"
+_COVER = f"{_VALID}, cov AS (SELECT claim_id, count(*) AS n_entities, count(*) FILTER (WHERE entity IN (SELECT term FROM ed)) AS n_covered FROM ve GROUP BY claim_id)"
+_NUMS = f"nu AS (SELECT claim_id, unnest(numbers) AS number FROM asked), {S.standing('nd', 'SELECT number AS term FROM nu')}, np AS (SELECT claim_id, number, coalesce(number IN (SELECT term FROM nd), false) AS present FROM nu)"
 
 
 def _places(text: str, term: str) -> str:
@@ -183,14 +198,16 @@ def _places(text: str, term: str) -> str:
 
 
 _MIS = f"""named AS (SELECT DISTINCT ve.claim_id, entity, keyword FROM ve JOIN m USING (claim_id) WHERE entity <> keyword AND NOT regexp_matches(claim_text, '^[-\\s\\p{{Z}}]*政策依据[：:]')),
-  known AS (SELECT * FROM named WHERE EXISTS (SELECT 1 FROM once WHERE contains(text, entity))),
-  both_in AS (SELECT DISTINCT n.entity, n.keyword, {_places('text', 'n.entity')} AS a, {_places('text', 'n.keyword')} AS b FROM known n JOIN once ON contains(text, n.entity) AND contains(text, n.keyword)),
-  close_by AS (SELECT DISTINCT entity, keyword FROM (SELECT entity, keyword, unnest(a) AS x, b FROM both_in) WHERE len(list_filter(b, lambda y: abs(x - y) <= {L.NEAR})) > 0),
-  mis AS (SELECT claim_id, entity FROM known k WHERE NOT EXISTS (SELECT 1 FROM close_by c WHERE c.entity = k.entity AND c.keyword = k.keyword))"""
-_GROWTH = f"""gw AS (SELECT DISTINCT claim_id, number, words FROM (SELECT claim_id, unnest(numbers) AS number, regexp_extract_all(claim_text, '{S.words(L.GROWTH_WORDS)}') AS words FROM asked) WHERE len(words) > 0 AND number LIKE '%\\%' ESCAPE '\\'),
-  gc AS (SELECT claim_id, number, EXISTS (SELECT 1 FROM once WHERE contains(text, number) AND len(list_filter(words, lambda w: contains(substr(text, greatest(instr(text, number) - {L.GROWTH_RADIUS}, 1), instr(text, number) + {L.GROWTH_RADIUS} - greatest(instr(text, number) - {L.GROWTH_RADIUS}, 1)), w))) > 0) AS in_context FROM gw)"""
-_GENERAL = f"""kg0 AS (SELECT claim_id, keyword, CAST(sum({S.count_of('o.text', 'keyword')}) AS BIGINT) AS n_found, count(DISTINCT o.source_path) AS n_sources FROM m JOIN once o ON contains(o.text, keyword) GROUP BY claim_id, keyword),
-  kg AS (SELECT *, (SELECT count(DISTINCT source_path) FROM once) AS total_sources, length(keyword) <= {L.SHORT_KEYWORD} AS short, n_found > {L.GENERIC_OVER} AND n_sources / (SELECT count(DISTINCT source_path) FROM once) < {L.DOMAIN_SHARE} AS generic FROM kg0)"""
+  known AS (SELECT n.*, f.first_source FROM named n JOIN (SELECT term, min(source_path) AS first_source FROM ed GROUP BY term) f ON f.term = entity), pairs AS (SELECT DISTINCT entity, keyword FROM known),
+  ea AS (SELECT term, source_path, unnest({_places('text', 'term')}) AS x FROM ed WHERE term IN (SELECT entity FROM pairs)), ka AS (SELECT term, source_path, {_places('text', 'term')} AS b FROM kd WHERE term IN (SELECT keyword FROM pairs)),
+  close_by AS (SELECT DISTINCT entity, keyword FROM pairs JOIN ea ON ea.term = entity JOIN ka ON ka.term = keyword AND ka.source_path = ea.source_path WHERE len(list_filter(b, lambda y: abs(x - y) <= {L.NEAR})) > 0),
+  mis AS (SELECT claim_id, entity, first_source FROM known k WHERE NOT EXISTS (SELECT 1 FROM close_by c WHERE c.entity = k.entity AND c.keyword = k.keyword))"""
+_GROWTH = f"""gw AS (SELECT DISTINCT claim_id, number, words FROM (SELECT claim_id, unnest(numbers) AS number, regexp_extract_all(claim_text, '{S.words(L.GROWTH_WORDS)}') AS words FROM asked) WHERE len(words) > 0 AND number LIKE '%\\%' ESCAPE '\\'), {S.standing('gd', 'SELECT number AS term FROM gw')},
+  gx AS (SELECT term, substr(text, greatest(instr(text, term) - {L.GROWTH_RADIUS}, 1), instr(text, term) + {L.GROWTH_RADIUS} - greatest(instr(text, term) - {L.GROWTH_RADIUS}, 1)) AS around FROM gd),
+  gc AS (SELECT claim_id, number, EXISTS (SELECT 1 FROM gx WHERE gx.term = number AND len(list_filter(words, lambda w: contains(around, w))) > 0) AS in_context FROM gw)"""
+_GENERAL = f"""kn AS (SELECT term, CAST(sum({S.count_of('text', 'term')}) AS BIGINT) AS n_found, count(*) AS n_sources FROM kd GROUP BY term),
+  kg0 AS (SELECT claim_id, keyword, coalesce(n_found, 0) AS n_found, coalesce(n_sources, 0) AS n_sources, (SELECT count(DISTINCT source_path) FROM once) AS total_sources FROM m LEFT JOIN kn ON term = keyword),
+  kg AS (SELECT *, length(keyword) <= {L.SHORT_KEYWORD} AS short, n_found > {L.GENERIC_OVER} AND n_sources / total_sources < {L.DOMAIN_SHARE} AS generic FROM kg0)"""
 _RULES = f"""r1 AS (SELECT *, n_clauses > 1 AND n_supported < n_clauses AS partial, (n_entities >= 2 AND coverage < {L.LOW_COVERAGE}) OR n_misattributed > 0 AS inconsistent,
     (n_numbers > 0 AND n_missing < n_numbers) OR quoted_found AS strong, short AND n_numbers > 0 AND n_missing = n_numbers AS numberless FROM facts),
   r2 AS (SELECT *, (short OR generic) AND NOT strong AND NOT partial AND NOT inconsistent AS weak FROM r1),
@@ -199,14 +216,29 @@ _RULES = f"""r1 AS (SELECT *, n_clauses > 1 AND n_supported < n_clauses AS parti
     CASE WHEN NOT found THEN '' ELSE concat_ws('; ', CASE WHEN partial THEN 'SUBCLAIM_UNSOURCED' END, CASE WHEN n_entities > 0 AND coverage < 100 THEN 'ENTITY_UNCOVERED' END, CASE WHEN n_misattributed > 0 THEN 'ENTITY_MISATTRIBUTED' END,
       CASE WHEN n_missing > 0 THEN 'NUMBER_MISSING' END, CASE WHEN n_growth_misses > 0 THEN 'GROWTH_CONTEXT' END, CASE WHEN short THEN 'KEYWORD_SHORT' END, CASE WHEN generic THEN 'KEYWORD_GENERIC' END,
       CASE WHEN weak THEN 'WEAK_MATCH_DOWNGRADED' END, CASE WHEN refuted THEN 'NO_EVIDENCE' END) END AS codes FROM r3)"""
-_FACTS = f"""{_MATCH}, {_CLAUSES}, {_COVER}, {_NUMS}, {_MIS}, {_GROWTH}, {_GENERAL},
+_FACTS = f"""{_CLAUSES}, {_COVER}, {_NUMS}, {_MIS}, {_GROWTH}, {_GENERAL}, qt AS (SELECT claim_id, unnest(regexp_extract_all(claim_text, '[“《"]([^”》"]{{2,40}})[”》"]', 1)) AS q FROM asked), {S.standing('qd', 'SELECT q AS term FROM qt')},
+  quoted AS (SELECT DISTINCT claim_id FROM qt WHERE q IN (SELECT term FROM qd)),
   facts AS (SELECT a.claim_id, m.claim_id IS NOT NULL AS found, m.source, m.keyword AS matched_keyword,
-    (SELECT count(*) FROM support s WHERE s.claim_id = a.claim_id) AS n_clauses, (SELECT count(*) FROM support s WHERE s.claim_id = a.claim_id AND supported) AS n_supported,
-    coalesce(cov.n_entities, 0) AS n_entities, coalesce(n_covered * 100 / cov.n_entities, 100) AS coverage, (SELECT count(*) FROM mis WHERE mis.claim_id = a.claim_id) AS n_misattributed,
-    (SELECT count(*) FROM np WHERE np.claim_id = a.claim_id) AS n_numbers, (SELECT count(*) FROM np WHERE np.claim_id = a.claim_id AND NOT present) AS n_missing,
-    (SELECT count(*) FROM gc WHERE gc.claim_id = a.claim_id AND NOT in_context) AS n_growth_misses, coalesce(kg.short, false) AS short, coalesce(kg.generic, false) AS generic,
-    EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(a.claim_text, '[“《"]([^”》"]{{2,40}})[”》"]', 1)) AS q) JOIN once ON contains(text, q)) AS quoted_found
-    FROM asked a LEFT JOIN m ON m.claim_id = a.claim_id LEFT JOIN cov ON cov.claim_id = a.claim_id LEFT JOIN kg ON kg.claim_id = a.claim_id)"""
+    coalesce(s.n_clauses, 0) AS n_clauses, coalesce(s.n_supported, 0) AS n_supported, coalesce(cov.n_entities, 0) AS n_entities, coalesce(n_covered * 100 / cov.n_entities, 100) AS coverage, coalesce(mi.n, 0) AS n_misattributed,
+    coalesce(pr.n_numbers, 0) AS n_numbers, coalesce(pr.n_missing, 0) AS n_missing, coalesce(g.n, 0) AS n_growth_misses, coalesce(kg.short, false) AS short, coalesce(kg.generic, false) AS generic, quoted.claim_id IS NOT NULL AS quoted_found,
+    s.unsourced, cov.uncovered, mi.misplaced, pr.missing, g.growth_misses, kg.n_found, kg.n_sources, kg.total_sources
+    FROM asked a LEFT JOIN m ON m.claim_id = a.claim_id LEFT JOIN kg ON kg.claim_id = a.claim_id LEFT JOIN quoted ON quoted.claim_id = a.claim_id
+    LEFT JOIN (SELECT claim_id, count(*) AS n_entities, count(*) FILTER (WHERE entity IN (SELECT term FROM ed)) AS n_covered, string_agg(entity, '、' ORDER BY i) FILTER (WHERE entity NOT IN (SELECT term FROM ed)) AS uncovered
+      FROM (SELECT claim_id, unnest(entities) AS entity, generate_subscripts(entities, 1) AS i FROM asked) WHERE {S.valid_entity('entity')} GROUP BY claim_id) cov ON cov.claim_id = a.claim_id
+    LEFT JOIN (SELECT claim_id, count(*) AS n_clauses, count(*) FILTER (WHERE supported) AS n_supported, string_agg(clause, '；' ORDER BY clause_no) FILTER (WHERE NOT supported) AS unsourced FROM support GROUP BY claim_id) s ON s.claim_id = a.claim_id
+    LEFT JOIN (SELECT claim_id, count(*) AS n, string_agg(entity || '（见于' || left(first_source, 60) || '）', '、' ORDER BY entity) AS misplaced FROM mis GROUP BY claim_id) mi ON mi.claim_id = a.claim_id
+    LEFT JOIN (SELECT claim_id, count(*) AS n_numbers, count(*) FILTER (WHERE NOT present) AS n_missing, string_agg(number, '、' ORDER BY i) FILTER (WHERE NOT present) AS missing
+      FROM (SELECT claim_id, number, i, coalesce(number IN (SELECT term FROM nd), false) AS present FROM (SELECT claim_id, unnest(numbers) AS number, generate_subscripts(numbers, 1) AS i FROM asked)) GROUP BY claim_id) pr ON pr.claim_id = a.claim_id
+    LEFT JOIN (SELECT claim_id, count(*) FILTER (WHERE NOT in_context) AS n, string_agg(number, '、' ORDER BY number) FILTER (WHERE NOT in_context) AS growth_misses FROM gc GROUP BY claim_id) g ON g.claim_id = a.claim_id)"""
+_WARNED = """SELECT claim_id, w.code, w.detail FROM (SELECT claim_id, unnest(list_filter([
+    {'code': 'SUBCLAIM_UNSOURCED', 'detail': CASE WHEN partial THEN format('{} 个子命题中 {} 个有出处；无出处：{}', n_clauses, n_supported, unsourced) END},
+    {'code': 'ENTITY_UNCOVERED', 'detail': CASE WHEN n_entities > 0 AND coverage < 100 THEN format('覆盖率 {:.0f}%；未找到：{}', coverage, uncovered) END},
+    {'code': 'ENTITY_MISATTRIBUTED', 'detail': CASE WHEN n_misattributed > 0 THEN format('“{}”附近没有：{}', matched_keyword, misplaced) END},
+    {'code': 'NUMBER_MISSING', 'detail': CASE WHEN n_missing > 0 THEN '未找到：' || missing END}, {'code': 'GROWTH_CONTEXT', 'detail': CASE WHEN n_growth_misses > 0 THEN '不在增长语境中：' || growth_misses END},
+    {'code': 'KEYWORD_SHORT', 'detail': CASE WHEN short THEN format('“{}”只有 {} 个字', matched_keyword, length(matched_keyword)) END},
+    {'code': 'KEYWORD_GENERIC', 'detail': CASE WHEN generic THEN format('“{}”出现 {} 次，见于 {}/{} 份文档', matched_keyword, n_found, n_sources, total_sources) END},
+    {'code': 'WEAK_MATCH_DOWNGRADED', 'detail': CASE WHEN weak THEN format('仅靠{}的关键词“{}”，无数字或引号专名佐证', concat_ws('/', CASE WHEN short THEN '过短' END, CASE WHEN generic THEN '高频通用' END), matched_keyword) END},
+    {'code': 'NO_EVIDENCE', 'detail': CASE WHEN refuted THEN format('“{}”虽出现，但数字均未找到', matched_keyword) END}], lambda x: x.detail IS NOT NULL)) AS w FROM ruled WHERE found)"""
 _TERMS = f"""ex AS (SELECT claim_id, t, min((-length(t), i)) AS o FROM (SELECT claim_id, {S.trim('t')} AS t, i FROM (SELECT claim_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT claim_id, list_concat(coalesce(numbers, []), coalesce(entities, [])) AS l FROM asked))) WHERE t <> '' GROUP BY claim_id, t),
   exo AS (SELECT claim_id, t, row_number() OVER (PARTITION BY claim_id ORDER BY o) AS i FROM ex),
   cwords AS (SELECT DISTINCT claim_id, unnest(regexp_extract_all(claim_text, '[一-鿿]{{2,6}}')) AS t FROM asked), cwo AS (SELECT claim_id, t, row_number() OVER (PARTITION BY claim_id ORDER BY length(t) DESC, t) AS i FROM cwords),
@@ -218,29 +250,38 @@ _RANK = f"""ph AS (SELECT term, chunk_id, {S.count_of('lower(text)', 'lower(term
   bm AS (SELECT ph.term, chunk_id, CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nt + 0.5) / (nt + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size)) AS score FROM ph JOIN df USING (term), st WHERE length(replace(term, ' ', '')) >= 3),
   bmr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) WHERE rank <= {L.TERM_LIMIT}),
   lk AS (SELECT * FROM (SELECT term, chunk_id, CAST(ex AS DOUBLE) AS score, row_number() OVER (PARTITION BY term ORDER BY ex DESC, chunk_id) AS rank FROM ph WHERE length(replace(term, ' ', '')) < 3) WHERE rank <= {L.TERM_LIMIT})"""
-_SEARCH = f"{S.ASKED}, {S.CHUNKS}, {_TERMS}, {_RANK}"
+_SEARCH = f"{S.QUERY_SET}, {S.CHUNKS}, {_TERMS}, {_RANK}"
 _FUSED = f"""fu AS (SELECT claim_id, chunk_id, sum(CASE WHEN term_pos = 0 THEN {L.CLAIM_WEIGHT} ELSE 1.0 END / ({L.RRF_K} + rank)) AS score, min((term_pos, rank)) AS first FROM terms JOIN ranked USING (term) GROUP BY claim_id, chunk_id),
   pe AS (SELECT fu.*, EXISTS (SELECT 1 FROM exo WHERE exo.claim_id = fu.claim_id) AND NOT EXISTS (SELECT 1 FROM exo WHERE exo.claim_id = fu.claim_id AND contains(once.text, exo.t)) AS penalised FROM fu JOIN once USING (chunk_id)),
   sc AS (SELECT claim_id, chunk_id, penalised, first, CASE WHEN penalised THEN score * {L.PENALTY} ELSE score END AS score FROM pe)"""
 
+_BEST = f"SELECT claim_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 12) DESC, first, chunk_id) AS rank FROM sc) WHERE rank <= {L.TOP_K}"
+_RANKED = "ranked AS (SELECT term, chunk_id, rank FROM bmr UNION ALL SELECT term, chunk_id, rank FROM lk)"
+_RETRIEVED = f"""{S.QUERY_SET}, {S.DOCS}, {_KW}, {_TERMS}, {_RANK}, {_RANKED}, {_FUSED}, cand AS ({_BEST}), {_PLAIN},
+  rm AS (SELECT claim_id, min((rank, pos, k, chunk_id)) AS b FROM cand JOIN kw ON kw.id = claim_id JOIN once USING (chunk_id) WHERE contains(once.text, k) GROUP BY claim_id),
+  mm AS (SELECT claim_id, b[3] AS keyword, source_path FROM rm JOIN once ON once.chunk_id = b[4] UNION ALL SELECT claim_id, b[3], b[2] FROM m0 WHERE claim_id NOT IN (SELECT claim_id FROM rm)),
+  m AS (SELECT claim_id, keyword, docs.source_path, docs.source, docs.text FROM mm JOIN docs USING (source_path))"""
+
 SQL = {
-    "match_first": f"WITH {_MATCH} SELECT claim_id, keyword, chunk_id, source FROM m",
+    "match_first": f"WITH {_MATCH} SELECT claim_id, keyword, source_path, source FROM m",
     "snippet_context": f"WITH {_MATCH} SELECT claim_id, keyword, replace(substr(text, greatest(instr(text, keyword) - {L.SNIPPET_RADIUS}, 1), instr(text, keyword) + length(keyword) + {L.SNIPPET_RADIUS} - greatest(instr(text, keyword) - {L.SNIPPET_RADIUS}, 1)), chr(10), ' ') AS snippet FROM m",
     "subclaim_semi": f"WITH {_BASE}, {_CLAUSES} SELECT * EXCLUDE (supported) FROM support WHERE supported",
     "subclaim_anti": f"WITH {_BASE}, {_CLAUSES} SELECT * EXCLUDE (supported) FROM support WHERE NOT supported",
-    "entity_coverage": f"WITH {S.ASKED}, {S.CHUNKS}, {_COVER} SELECT *, round(n_covered * 100 / n_entities, 6) AS coverage FROM cov",
-    "missing_numbers": f"WITH {S.ASKED}, {S.CHUNKS}, {_NUMS} SELECT DISTINCT claim_id, number FROM np WHERE NOT present",
+    "entity_coverage": f"WITH {S.EVERY}, {S.DOCS}, {_COVER} SELECT *, round(n_covered * 100 / n_entities, 6) AS coverage FROM cov",
+    "missing_numbers": f"WITH {S.EVERY}, {S.DOCS}, {_NUMS} SELECT DISTINCT claim_id, number FROM np WHERE NOT present",
     "cooccurrence_range": f"WITH {_MATCH}, {_VALID}, {_MIS} SELECT * FROM mis",
-    "growth_context": f"WITH {S.ASKED}, {S.CHUNKS}, {_GROWTH} SELECT * FROM gc",
+    "growth_context": f"WITH {S.EVERY}, {S.DOCS}, {_GROWTH} SELECT * FROM gc",
     "keyword_generality": f"WITH {_MATCH}, {_GENERAL} SELECT * FROM kg",
-    "claim_status": f"WITH {_FACTS}, {_RULES} SELECT {', '.join(_STATUS)}, codes FROM ruled",
+    "claim_status": f"WITH {_MATCH}, {_FACTS}, {_RULES} SELECT {', '.join(_STATUS)}, codes FROM ruled",
+    "claim_warnings": f"WITH {_MATCH}, {_FACTS}, {_RULES} {_WARNED}",
+    "claim_status_retrieved": f"WITH {_RETRIEVED}, {_FACTS}, {_RULES} SELECT {', '.join(_STATUS)}, codes FROM ruled",
     "status_cascade": f"""WITH facts AS (SELECT * FROM (VALUES (true), (false)) a(found), (VALUES (0), (1), (2)) b(n_clauses), (VALUES (0), (2)) c(n_supported), (VALUES (0), (1), (2)) d(n_entities), (VALUES (0.0), (50.0), (100.0)) e(coverage),
       (VALUES (0), (1)) f(n_misattributed), (VALUES (0), (2)) g(n_numbers), (VALUES (0), (1), (2)) h(n_missing), (VALUES (0), (1)) i(n_growth_misses), (VALUES (true), (false)) j(short), (VALUES (true), (false)) k(generic), (VALUES (true), (false)) l(quoted_found)), {_RULES}
       SELECT found, CAST(n_clauses AS BIGINT) AS n_clauses, CAST(n_supported AS BIGINT) AS n_supported, CAST(n_entities AS BIGINT) AS n_entities, CAST(coverage AS DOUBLE) AS coverage, CAST(n_misattributed AS BIGINT) AS n_misattributed,
         CAST(n_numbers AS BIGINT) AS n_numbers, CAST(n_missing AS BIGINT) AS n_missing, CAST(n_growth_misses AS BIGINT) AS n_growth_misses, short, generic, quoted_found, status, codes FROM ruled""",
-    "search_terms": f"WITH {S.ASKED}, {_TERMS} SELECT claim_id, term_pos, term FROM terms",
+    "search_terms": f"WITH {S.EVERY}, {_TERMS} SELECT claim_id, term_pos, term FROM terms",
     "bm25_phrase_rank": f"WITH {_SEARCH} SELECT term, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bmr",
     "like_rank": f"WITH {_SEARCH} SELECT term, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lk",
-    "rrf_fusion": f"WITH {_SEARCH}, ranked AS (SELECT term, chunk_id, rank FROM bmr UNION ALL SELECT term, chunk_id, rank FROM lk), {_FUSED} SELECT claim_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 12) DESC, first, chunk_id) AS rank FROM sc) WHERE rank <= {L.TOP_K}",
-    "anchor_penalty": f"WITH {_SEARCH}, ranked AS (SELECT term, chunk_id, rank FROM bmr), {_FUSED} SELECT claim_id, penalised, count(*) AS n_chunks, round(max(score), 6) AS best FROM sc GROUP BY claim_id, penalised",
+    "rrf_fusion": f"WITH {_SEARCH}, {_RANKED}, {_FUSED} {_BEST}",
+    "anchor_penalty": f"WITH {_SEARCH}, {_RANKED}, {_FUSED} SELECT claim_id, penalised, count(*) AS n_chunks, round(max(score), 6) AS best FROM sc GROUP BY claim_id, penalised",
 }

@@ -19,9 +19,21 @@ def trim(x: str) -> str:
 
 
 CLAIMS = "claims AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY checked_ts DESC, status DESC NULLS LAST) AS rn FROM checklist_result) WHERE rn = 1)"
-ASKED = CLAIMS + ", asked AS (SELECT * FROM claims WHERE claim_id % 100 = 0)"
+EVERY = CLAIMS + ", asked AS (SELECT * FROM claims)"
+QUERY_SET = CLAIMS + ", asked AS (SELECT * FROM claims WHERE claim_id % 100 = 0)"  # of the searches
 CHUNKS = "once AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_ts DESC) AS rn FROM chunks) WHERE rn = 1)"
 
+# the whole texts: of overlapping chunks the first counts, a gap is newlines
+DOCS = CHUNKS + """,
+  d0 AS (SELECT source_path, chunk_offset AS o, text, coalesce(max(chunk_offset + length(text)) OVER (PARTITION BY source_path ORDER BY chunk_offset, length(text) DESC, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pe FROM once WHERE text <> ''),
+  d1 AS (SELECT source_path, string_agg(repeat(chr(10), greatest(o - pe, 0)) || substr(text, greatest(pe - o, 0) + 1), '' ORDER BY o, length(text) DESC, text) AS text FROM d0 WHERE o + length(text) > pe GROUP BY source_path),
+  docs AS MATERIALIZED (SELECT d1.*, n.source FROM d1 JOIN (SELECT source_path, coalesce(max(source), source_path) AS source FROM once GROUP BY source_path) n USING (source_path))"""
+
+
+def standing(name: str, terms: str) -> str:
+    """CTE {name}(term, source_path, text): the whole texts in which each of the terms stands."""
+    return f"{name} AS MATERIALIZED (SELECT term, source_path, text FROM (SELECT DISTINCT term FROM ({terms}) WHERE term <> '') JOIN docs ON contains(text, term))"
+
 
 def numbers(source: str, key: str = "id", text: str = "txt") -> str:
     """CTEs ending in nums(id, n): distinct numbers of a text."""
