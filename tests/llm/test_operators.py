@@ -5,13 +5,15 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veritrail.llm import name_variants as N
-from veritrail.llm.leakage import bare, leaked_items
+from veritrail.llm.codes import gram_hashes
+from veritrail.llm.leakage import bare, item_sketches, leaked_items, least_common
 from veritrail.llm.packing import pack_items
-from veritrail.llm.repetition import line_repetition
+from veritrail.llm.repetition import clean_lines
 from veritrail.llm.same_look import look_map, same_look, same_look_pairs
 from veritrail.llm.shared_spans import shared_spans
 from veritrail.llm.splitting import split_items, split_plan
@@ -237,16 +239,62 @@ def test_leakage(spark):
     schema = ("doc_id bigint, text string", "item_id bigint, text string")
     frames = [spark.createDataFrame(r, s).withColumn("hash", F.lit(1)) for r, s in zip((docs, items), schema)]
     assert {(r["doc_id"], r["item_id"]) for r in leaked_items(*frames).collect()} == expected and expected
-    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(*frames, block_chars=300).collect()} == expected
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(*frames, together=1).collect()} == expected
     assert leaked_items(frames[0].limit(0), frames[1]).count() == 0 and leaked_items(frames[0], frames[1].limit(0)).count() == 0
 
 
+def leaks_by_force(docs, items):
+    out = {}
+    for i, t in items:
+        x = bare(t or "")
+        for d, text in docs:
+            y = bare(text or "")
+            held = {y[q : q + 16] for q in range(len(y) - 15)}
+            hit = {p + q for p in range(len(x) - 15) if x[p : p + 16] in held for q in range(16)}
+            if hit and 2 * len(hit) >= len(x):
+                out[d, i] = len(hit)
+    return out
+
+
+def test_leakage_of_long_items_by_sketches(spark):
+    """Items of which only a part of the shingles is looked up: all leaks are found, at the edge of the share too."""
+    rng = random.Random(17)
+    letters = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 900))
+    phrase = some_text(rng, 40, letters)
+    items = [(k, some_text(rng, rng.choice([500, 900, 2000, 6000]), letters)) for k in range(24)] + [(90, phrase * 60), (91, phrase * 60 + some_text(rng, 300, letters))]
+    docs = []
+    for k in range(60):
+        n, text = rng.choice(items)
+        kind, pieces = k % 3, []
+        if kind == 0:  # the worst case: half of the item in stretches of 16 characters, apart from each other
+            pieces = [text[a : a + 16] for a in range(0, len(text), 32 if k % 2 else 33)]
+        elif kind == 1:
+            pieces = [text[len(text) // 4 : len(text) // 4 + len(text) // 2 + rng.choice([-3, 0, 3])]]
+        else:
+            pieces = [text[: len(text) // 3], text[-len(text) // 3 :]]
+        rng.shuffle(pieces)
+        docs.append((k, "".join(some_text(rng, 20, letters) + p for p in pieces)))
+    expected = leaks_by_force(docs, items)
+    frames = [spark.createDataFrame(r, s) for r, s in zip((docs, items), ("doc_id bigint, text string", "item_id bigint, text string"))]
+    assert {(r["doc_id"], r["item_id"]): r["leaked_chars"] for r in leaked_items(*frames).collect()} == expected and len(expected) > 30
+    _, sized = item_sketches(frames[1])
+    shares = {r["partition"]: r["k"] / r["n"] for r in sized.collect() if r["n"] > 400}
+    assert shares[max(shares)] < 0.1 and all(x < 1 for x in shares.values())
+
+
+def test_least_common_shingles():
+    """A phrase that an item repeats covers much of it with few shingles; without repeats each covers 16 characters."""
+    for text, least in (("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳" * 50, 1), ("".join(chr(0x4E00 + k) for k in range(320)), 10)):
+        codes = np.array(list(map(ord, text)), np.uint32)
+        assert least_common(codes, gram_hashes(codes, 16), 16, 0.5) == least
+
+
 def test_repetition(spark):
     rng = random.Random(8)
     phrases = [some_text(rng, n) for n in (9, 10, 11, 30)]
     texts = ["".join(rng.choice([*phrases, some_text(rng, 7), "\n", "。\n\n"]) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "", "甲" * 3000, "a|b|c\n", "短", "\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("n_chars", F.lit("clash"))
-    got = {r["doc_id"]: r for r in line_repetition(df).collect()}
+    got = {r["doc_id"]: r for r in clean_lines(df).collect()}
     assert len(got) == len(texts)
     for k, text in enumerate(texts):
         text, seen, hit = text or "", set(), set()
@@ -254,16 +302,27 @@ def test_repetition(spark):
             if text[i : i + 10] in seen:
                 hit.update(range(i, i + 10))
             seen.add(text[i : i + 10])
-        assert (got[k]["n_chars"], got[k]["repeated_chars"]) == (len(text), len(hit))
-        assert got[k]["n_lines"] == text.count("\n") + (not text.endswith("\n") and text != "")
-    assert got[len(texts) - 3]["navigation_lines"] == 1
-    assert line_repetition(df.limit(0)).count() == 0
+        row, lines, at = got[k], re.findall(r"[^\n]*\n|[^\n]+", text), 0
+        fails, kept = Counter(), ""
+        for line in lines:
+            part = sum(p in hit for p in range(at, at + len(line)))
+            at += len(line)
+            shown = line.rstrip()
+            rules = {"boilerplate": part and part >= 0.15 * len(line), "navigation": shown and len(line) <= 40 and line.count("|") > 1}
+            rules["punctuation"] = shown and shown[-1] != "。"
+            fails.update(r for r, x in rules.items() if x)
+            fails["chars"] += len(line) * bool(rules["boilerplate"])
+            kept += "" if any(rules.values()) else line
+        assert (row["n_chars"], row["repeated_chars"], row["n_lines"], row["cleaned"], row["lost_chars"]) == (len(text), len(hit), len(lines), kept, len(text) - len(kept))
+        assert [row[f"{r}_lines"] for r in ("boilerplate", "punctuation", "navigation")] == [fails[r] for r in ("boilerplate", "punctuation", "navigation")]
+        assert row["boilerplate_chars"] == fails["chars"] and row["rejected"] == (text != "" and len(hit) >= 0.3 * len(text))
+    assert got[len(texts) - 3]["navigation_lines"] == 1 and sum(r["rejected"] for r in got.values()) > 20
+    assert {r["doc_id"] for r in clean_lines(df, cleaned=False).filter("rejected").collect()} == {k for k, r in got.items() if r["rejected"]}
+    assert clean_lines(df.limit(0)).count() == 0
 
 
 def test_repetition_survives_equal_hashes(monkeypatch):
     """With a hash that says nothing the counts are still exact."""
-    import numpy as np
-
     from veritrail.llm import repetition
 
     monkeypatch.setattr(repetition, "gram_hashes", lambda codes, n: np.full(max(0, codes.size - n + 1), 3, np.uint64))

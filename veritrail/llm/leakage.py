@@ -2,16 +2,20 @@
 
 Size-partitioned MinHash containment search, verified by exact shingle containment. Both sides are
 reduced to their letters, digits and ideographs (compatibility forms and case levelled) and cut into
-shingles of `stretch` such characters. Items are partitioned by the power of two of their number of
-shingles. The sketch of an item holds its shingles whose hash lies below the partition's share of the
-hash space (the form of MinHash made for finding small sets in large ones: a document's side needs no
-sketch of fixed length, in which a short item would drown). A partition's share is the least at which an
-item that is contained to `share` fails to meet with a probability below `miss`; partitions whose items
-may have few common shingles keep all, so there the search misses nothing. Documents that meet a sketch
-are candidates; for them the item's characters within common shingles are counted exactly.
-
-Signatures of fixed length with bands were not taken: the common part may stand in any order at any
-places, so no window of a document need be similar to the item.
+shingles of `stretch` such characters.
+
+1. Items are partitioned by the power of two of their number of distinct shingles. The sketch of an item is its
+   k shingles of least hash (bottom-k MinHash). k is set by the partition: from the least number c of shingles that an
+   item contained to `share` has in common with a document, and the most shingles n that an item of the partition has,
+   so that an item with c common shingles escapes its sketch with a probability of `miss` at most,
+   (1 - k/n)^c <= miss; with k = n - c + 1 no contained item escapes at all, so k is never more.
+2. One scan of the documents looks up sketched shingles only, through a filter of bounded size, and keeps
+   documents that may hold one. A join with the sketches gives the candidates.
+3. A candidate's item is compared with the document in full: the characters of the item that stand in
+   shingles of the document are counted exactly.
+
+A document's side needs no sketch of fixed length, in which a short item would drown, and signatures with bands were not
+taken: the common part may stand in any order at any places, so no window of a document need be similar to the item.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.membership import membership
+from ..session import materialize
 from .codes import code_points, gram_hashes, whole
 
 STRETCH = 16
 SHARE = 0.5
-MISS = 1e-9
-#: Characters of items that are sent to every task at once; more items are treated in blocks.
-BLOCK_CHARS = 4_000_000
+MISS = 1e-6
+#: Items that a document is compared with at once; a document with more comes once for each so many.
+TOGETHER = 256
 _TABLE = 0x30000
 _SLOW = 0xFFFFFFFF
 
@@ -59,6 +65,18 @@ def bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).lower()) if c.isalnum())
 
 
+def bare_map():
+    """The levelling of bare() as SQL around a column, for the oracle: characters that become one other character by a
+    table that follows from the Unicode database."""
+    single = {}
+    for code in range(0x80, 0x20000):
+        out = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", chr(code)).lower()) if not 0xD800 <= code < 0xE000 else ""
+        if len(out) == 1 and out != chr(code) and unicodedata.normalize("NFC", chr(code)) == chr(code):
+            single[chr(code)] = out
+    quoted = lambda x: "'" + "".join(x).replace("'", "''") + "'"
+    return lambda column: f"nfc_normalize(translate(lower(nfc_normalize({column})), {quoted(single)}, {quoted(single.values())}))"
+
+
 def _bare_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points and lengths of bare(text) for all texts."""
     table = _letters()
@@ -80,104 +98,137 @@ def _bare_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found[keep], np.bincount(text_of[keep], minlength=len(texts))
 
 
-class Items:
-    """The shingles of a block of items, ready to be looked up."""
-
-    def __init__(self, ids: list[int], texts: list[str], stretch: int, share: float, miss: float):
-        self.stretch, self.share = stretch, share
-        rows: dict[str, list[int]] = {}
-        for n, t in zip(ids, map(bare, texts)):
-            rows.setdefault(t, []).append(n)
-        self.texts = [t for t in rows if len(t) >= stretch]
-        self.ids = [sorted(set(rows[t])) for t in self.texts]
-        self.sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
-        hashes, items, places, sketched = [], [], [], []
-        for n, t in enumerate(self.texts):
-            h = gram_hashes(code_points([t])[0], stretch)
-            least = max(1, math.ceil(math.ceil(share * len(t)) / stretch))  # common shingles of a contained item
-            partition_least = max(1, 2 ** int(math.log2(least)))
-            part = min(1.0, math.log(1 / miss) / partition_least)
-            hashes.append(h)
-            items.append(np.full(h.size, n))
-            places.append(np.arange(h.size))
-            sketched.append(np.ones(h.size, bool) if part >= 1 else h < np.uint64(part * 2**64))
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        h = join(hashes, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.items, self.places, self.sketched = h[order], join(items, np.int64)[order], join(places, np.int64)[order], join(sketched, bool)[order]
-        self.gate = np.zeros(1 << 22, bool)
-        self.gate[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-
-    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(text number, item number, characters of the item that stand in the text), where they reach the share."""
-        codes, lengths = _bare_codes(texts)
-        hashes = gram_hashes(codes, self.stretch)
-        if not hashes.size or not self.hashes.size:
-            return
-        at = np.flatnonzero(self.gate[(hashes >> np.uint64(42)).astype(np.int64)])
-        left = np.searchsorted(self.hashes, hashes[at], "left")
-        known = self.hashes[np.minimum(left, self.hashes.size - 1)] == hashes[at]
-        at, left = at[known], left[known]
-        ends = np.cumsum(lengths)
-        text = np.searchsorted(ends, at, "right")
-        inside = at + self.stretch <= ends[text] if at.size else np.empty(0, bool)
-        at, left, text = at[inside], left[inside], text[inside]
-        if not at.size:
-            return
-        right = np.searchsorted(self.hashes, hashes[at], "right")
-        first = np.unique(np.stack([text, left]), axis=1, return_index=True)[1]  # each shingle once a text
-        at, left, right, text = at[first], left[first], right[first], text[first]
-        count = right - left
-        entry = np.repeat(left - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        text, at = np.repeat(text, count), np.repeat(at, count)
-        item = self.items[entry]
-        order = np.lexsort((self.places[entry], item, text))
-        text, item, entry, at = text[order], item[order], entry[order], at[order]
-        cut = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
-        for a, b in zip(cut, np.r_[cut[1:], text.size]):
-            n, of = item[a], self.texts[item[a]]
-            if not self.sketched[entry[a:b]].any():
-                continue
-            covered, end = 0, 0
-            for e, p in zip(entry[a:b], at[a:b]):
-                place = int(self.places[e])
-                if "".join(map(chr, codes[p : p + self.stretch])) != of[place : place + self.stretch]:
-                    continue
-                covered += place + self.stretch - max(place, end)
-                end = place + self.stretch
-            if covered >= self.share * len(of):
-                yield int(text[a]), int(n), covered
-
-
-def _find(items: Items):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_chars", pa.int64()), ("leaked_chars", pa.int64())])
+def least_common(text: np.ndarray, hashes: np.ndarray, stretch: int, share: float) -> int:
+    """The least number of distinct shingles that a document must have in common with an item (code points and
+    shingle hashes) to hold `share` of it: each covers `stretch` characters wherever it stands in the item."""
+    times = np.sort(np.unique(hashes, return_counts=True)[1])[::-1]
+    return int(np.searchsorted(np.cumsum(times) * stretch, math.ceil(share * text.size)) + 1)
+
+
+def _bare_items(stretch: int, share: float):
+    schema = pa.schema([("item_id", pa.int64()), ("bare", pa.string()), ("n", pa.int32()), ("c", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                text = bare(text)
+                if len(text) >= stretch:
+                    codes = code_points([text])[0]
+                    hashes = gram_hashes(codes, stretch)
+                    rows.append((item, text, np.unique(hashes).size, least_common(codes, hashes, stretch, share)))
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _sketches(stretch: int):
+    schema = pa.schema([("hash", pa.int64()), ("bare", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, out = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
+            for text, k in zip(batch.column("bare").to_pylist(), batch.column("k").to_pylist()):
+                least = np.unique(gram_hashes(code_points([text])[0], stretch))[:k]
+                yield pa.record_batch([pa.array(least.view(np.int64)), pa.array([text] * least.size)], schema=schema)
+
+    return run
+
+
+def _scan(known, stretch: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for numbers, pieces in whole(texts):
-                for n, item, covered in items.search(pieces):
-                    out += [(ids[numbers[n]], i, int(items.sizes[item]), covered) for i in items.ids[item]]
-            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], schema=schema)
+                codes, lengths = _bare_codes(pieces)
+                hashes = gram_hashes(codes, stretch)
+                at = known.value(hashes)
+                ends = np.cumsum(lengths)
+                text = np.searchsorted(ends, at, "right")
+                inside = at + stretch <= ends[text] if at.size else np.empty(0, bool)
+                at, text = at[inside], text[inside]
+                out = []
+                for n in np.unique(text):
+                    part = codes[ends[n] - lengths[n] : ends[n]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+                    out.append((ids[numbers[n]], part, np.unique(hashes[at[text == n]]).view(np.int64)))
+                if out:
+                    yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, share: float = SHARE, miss: float = MISS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def held_characters(item: str, doc: np.ndarray, doc_hashes: np.ndarray, order: np.ndarray, stretch: int) -> int:
+    """How many of the item's characters stand in the document (code points, shingle hashes and their order) in
+    common shingles. Equal hashes are compared character by character."""
+    codes = code_points([item])[0]
+    hashes = gram_hashes(codes, stretch)
+    left = np.searchsorted(doc_hashes, hashes, "left", sorter=order)
+    known = np.flatnonzero(doc_hashes[order[np.minimum(left, order.size - 1)]] == hashes) if order.size else np.empty(0, np.int64)
+    at = order[left[known]]
+    same = np.ones(known.size, bool)
+    for k in range(stretch):
+        same &= codes[known + k] == doc[at + k]
+    if not same.all():  # one hash, two contents: look for the text itself
+        text = doc.tobytes().decode("utf-32-le", "surrogatepass")
+        for j in np.flatnonzero(~same):
+            same[j] = item[known[j] : known[j] + stretch] in text
+    hit = np.zeros(codes.size + 1, np.int64)
+    np.add.at(hit, known[same], 1)
+    np.add.at(hit, known[same] + stretch, -1)
+    return int((np.cumsum(hit[:-1]) > 0).sum())
+
+
+def _verify(stretch: int, share: float):
+    schema = pa.schema([("doc_id", pa.int64()), ("bare", pa.string()), ("item_chars", pa.int64()), ("leaked_chars", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, items in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items"))):
+                codes = code_points([text])[0]
+                hashes = gram_hashes(codes, stretch)
+                order = np.argsort(hashes, kind="stable")
+                for item in items:
+                    held = held_characters(item, codes, hashes, order, stretch)
+                    if held >= share * len(item):
+                        rows.append((doc, item, len(item), held))
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def item_sketches(items: DataFrame, stretch: int = STRETCH, share: float = SHARE, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
+    """item_id, text -> (item_id, bare, n, c) of the items with a shingle at all, and (bare, partition, n, k) of
+    their distinct bare texts: size partition, distinct shingles and size of the sketch."""
+    rows = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text").distinct()
+    # by number: items are little data and much work
+    known = materialize(rows.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_bare_items(stretch, share), "item_id bigint, bare string, n int, c int"), "items")
+    texts = known.groupBy("bare").agg(F.first("n").alias("n"), F.first("c").alias("c")).withColumn("partition", F.floor(F.log2("n")).cast("int"))
+    bounds = texts.groupBy("partition").agg(F.max("n").alias("most"), F.min("c").alias("least"))  # a row a power of two
+    fraction = 1 - F.pow(F.lit(miss), 1 / F.col("least"))
+    k = F.least(F.ceil(F.col("n") * fraction), F.col("n") - F.col("c") + 1)
+    return known, texts.join(F.broadcast(bounds), "partition").select("bare", "partition", "n", F.greatest(k, F.lit(1)).cast("int").alias("k"))
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, share: float = SHARE, miss: float = MISS, together: int = TOGETHER) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, item_chars, leaked_chars for each
     document and item of which at least `share` of the letters, digits and ideographs stand in the
     document in stretches of at least `stretch`.
 
     Null texts and items with fewer than `stretch` such characters match nothing. Repeated rows give one
-    row. Items are a stated query set: they go to the tasks in blocks of at most about `block_chars`
-    characters, as many blocks as it takes, each over all documents."""
-    items = items.filter("text is not null and item_id is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
-    docs = docs.select("doc_id", "text").filter(F.length("text") >= stretch)
-    found = None
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").toArrow().to_pydict()
-        part = docs.mapInArrow(_find(Items(rows["item_id"], rows["text"], stretch, share, miss)), "doc_id bigint, item_id bigint, item_chars bigint, leaked_chars bigint")
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("item_chars").alias("item_chars"), F.max("leaked_chars").alias("leaked_chars"))
+    row; items of one bare text are searched for once. The documents are scanned once, however many items there are."""
+    known, sized = item_sketches(items, stretch, share, miss)
+    sketches = materialize(sized.mapInArrow(_sketches(stretch), "hash bigint, bare string"), "sketches")
+    lookup = membership(sketches, "hash", sketches.count())
+    docs = docs.filter(F.length("text") >= stretch).select(F.col("doc_id").cast("bigint"), "text")
+    held = materialize(docs.mapInArrow(_scan(lookup, stretch), "doc_id bigint, text string, hashes array<bigint>"), "held")
+    met = held.select("doc_id", F.explode("hashes").alias("hash")).join(sketches, "hash").select("doc_id", "bare").distinct()
+    # a document that holds any number of items is compared with some of them at a time
+    many = met.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("_parts"))
+    shares = met.join(many, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("bare"), F.col("_parts")).alias("_part")).agg(F.collect_list("bare").alias("items"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = shares.join(held.select("doc_id", "text"), "doc_id").repartition(parts, "doc_id", "_part").select("doc_id", "text", "items")
+    found = pairs.mapInArrow(_verify(stretch, share), "doc_id bigint, bare string, item_chars bigint, leaked_chars bigint")
+    rows = found.join(known.select("item_id", "bare"), "bare")
+    return rows.groupBy("doc_id", "item_id").agg(F.max("item_chars").alias("item_chars"), F.max("leaked_chars").alias("leaked_chars"))

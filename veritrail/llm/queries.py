@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from .leakage import leaked_items
+from .leakage import bare_map, leaked_items
 from .name_variants import linked_names, variant_pairs
 from .packing import CAPACITY, pack_items
-from .repetition import LIMIT, line_repetition
+from .repetition import BLANKS, ENDS, GRAM, LIMIT, LINE_SHARE, SEPARATORS, SHORT, clean_lines
 from .same_look import same_look_pairs
 from .shared_spans import shared_spans
 from .splitting import split_items
@@ -144,15 +144,16 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that lose 30 % of their characters or more to the rule on repeated text."""
-    docs = line_repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.filter(F.expr(f"n_chars > 0 and repeated_chars >= {LIMIT} * n_chars")).select("doc_id").distinct()
+    """Documents that line-first cleaning rejects for the text they lose to repetition."""
+    docs = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), cleaned=False)
+    return docs.filter("rejected").select("doc_id").distinct()
 
 
 def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document the share that repeats itself, and what the line rules find."""
-    docs = line_repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.withColumn("repeated_share", F.round(F.col("repeated_chars") / F.greatest(F.col("n_chars"), F.lit(1)), 6))
+    """For every document what the line rules remove, the share that repeats itself, and a digest of the cleaned text."""
+    docs = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    share = F.round(F.col("repeated_chars") / F.greatest(F.col("n_chars"), F.lit(1)), 6)
+    return docs.select(*docs.columns[:-1], share.alias("repeated_share"), F.length("cleaned").alias("kept_chars"), F.md5("cleaned").alias("cleaned_md5"))
 
 
 def queries() -> dict[str, Query]:
@@ -178,6 +179,29 @@ _P8 = """
   h AS (SELECT doc_id, count(DISTINCT at_char) AS hit FROM (SELECT doc_id, unnest(range(i, i + 10)) AS at_char FROM a) GROUP BY doc_id)"""
 
 
+_P7_MAP = bare_map()
+_P7 = f"""
+  WITH t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION SELECT 'i', item_id, claim_text FROM gold_annotations WHERE claim_text IS NOT NULL),
+  b AS MATERIALIZED (SELECT side, id, regexp_replace({_P7_MAP("text")}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS bare FROM t),
+  i AS (SELECT id AS item_id, length(bare) AS n, unnest(range(1, length(bare) - 14)) AS o, unnest(list_transform(range(1, length(bare) - 14), lambda i: substr(bare, i, 16))) AS g FROM b WHERE side = 'i' AND length(bare) >= 16),
+  d AS (SELECT DISTINCT id AS doc_id, unnest(list_transform(range(1, length(bare) - 14), lambda i: substr(bare, i, 16))) AS g FROM b WHERE side = 'd' AND length(bare) >= 16),
+  h AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(o, o + 16)) AS c FROM d JOIN i USING (g)),
+  l AS (SELECT doc_id, item_id, n AS item_chars, count(*) AS leaked_chars FROM h GROUP BY ALL HAVING 2 * count(*) >= n)"""
+_CLASS = lambda codes: "[" + "".join(f"\\x{{{c:X}}}" for c in codes) + "]"
+_P8_LINES = f"""{_P8},
+  s AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text <> ''),
+  l0 AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS no, len(parts) AS m FROM s),
+  l1 AS (SELECT doc_id, no, body || CASE WHEN no < m THEN chr(10) ELSE '' END AS line FROM l0 WHERE no < m OR body <> ''),
+  l2 AS (SELECT *, length(line) AS size, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY no) AS upto FROM l1),
+  hc AS (SELECT DISTINCT doc_id, unnest(range(i, i + {GRAM})) AS at_char FROM a),
+  r AS (SELECT l2.doc_id, no, count(*) AS repeated FROM hc ASOF JOIN l2 ON hc.doc_id = l2.doc_id AND hc.at_char <= l2.upto GROUP BY ALL),
+  f AS (SELECT l2.*, coalesce(repeated, 0) AS repeated, regexp_replace(line, '{_CLASS(BLANKS)}+$', '') AS shown FROM l2 LEFT JOIN r ON r.doc_id = l2.doc_id AND r.no = l2.no),
+  g AS (SELECT *, repeated > 0 AND repeated >= {LINE_SHARE} * size AS bo, shown <> '' AND NOT regexp_matches(right(shown, 1), '{_CLASS(map(ord, ENDS))}') AS pu,
+    shown <> '' AND size <= {SHORT} AND length(regexp_replace(line, '[^{_CLASS(map(ord, SEPARATORS))[1:-1]}]', '', 'g')) >= 2 AS na FROM f),
+  k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bo) AS b, count(*) FILTER (WHERE pu) AS p, count(*) FILTER (WHERE na) AS n, coalesce(sum(size) FILTER (WHERE bo), 0) AS bc, coalesce(sum(size) FILTER (WHERE bo OR pu OR na), 0) AS lc,
+    sum(repeated) AS rc, coalesce(string_agg(line, '' ORDER BY no) FILTER (WHERE NOT (bo OR pu OR na)), '') AS cleaned FROM g GROUP BY doc_id),
+  z AS (SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(b, 0) AS INTEGER) AS boilerplate_lines, CAST(coalesce(p, 0) AS INTEGER) AS punctuation_lines, CAST(coalesce(n, 0) AS INTEGER) AS navigation_lines,
+    CAST(coalesce(bc, 0) AS BIGINT) AS boilerplate_chars, CAST(coalesce(lc, 0) AS BIGINT) AS lost_chars, CAST(coalesce(rc, 0) AS BIGINT) AS repeated_chars, coalesce(cleaned, '') AS cleaned FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id)"""
 def oracle_sql() -> dict[str, str]:
     """Problems 2, 5, 6 and 7 have none: components, look-alike tables, packing and compatibility forms
     are no SQL of the oracle's; their tests hold them against brute force."""
@@ -185,5 +209,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"{_P1} SELECT DISTINCT rec_kind, rec_id FROM f",
         "p3_found": f"{_P3} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_counts": f"{_P3} SELECT * FROM m",
+        "p7_found": f"{_P7} SELECT doc_id, item_id FROM l",
+        "p7_leaks": f"{_P7} SELECT * FROM l",
+        "p8_lines": f"{_P8_LINES} SELECT * EXCLUDE (cleaned), n_chars > 0 AND repeated_chars >= {LIMIT} * n_chars AS rejected, round(repeated_chars / greatest(n_chars, 1), 6) AS repeated_share, length(cleaned) AS kept_chars, md5(cleaned) AS cleaned_md5 FROM z",
         "p8_found": f"{_P8} SELECT d.doc_id FROM documents d JOIN h ON h.doc_id = d.doc_id WHERE hit >= 0.3 * length(text)",
     }
