@@ -80,9 +80,9 @@ def test_name_parts_and_links(spark):
         assert len({got.get(n) for n in g}) == 1, [(n, got.get(n)) for n in g]
     assert len({got[g[0]] for g in groups}) == len(groups)
     assert not any("显著" in n for n in got) and "" not in got
-    pairs = {(r[0], r[1]) for r in N.variant_pairs(df).collect()}
+    pairs = {(r[0], r[1]) for r in N.variant_pairs(N.linked_names(df)).collect()}
     assert pairs == {(a, b) for g in groups for a in set(g) for b in set(g) if a < b}
-    assert N.variant_pairs(df.limit(0)).count() == 0
+    assert N.variant_pairs(N.linked_names(df.limit(0))).count() == 0
 
 
 def test_names_of_two_places_stay_apart(spark):
@@ -92,16 +92,6 @@ def test_names_of_two_places_stay_apart(spark):
     assert len({r["entity"] for r in got}) == len(names)
 
 
-def test_one_edit_and_refined_keys():
-    rng = random.Random(2)
-    for _ in range(500):
-        a = some_text(rng, 9)
-        i = rng.randrange(8)
-        b = rng.choice([a[:i] + a[i + 1 :], a[:i] + "子" + a[i:], a[:i] + "丑" + a[i + 1 :], a[:i] + a[i + 1] + a[i] + a[i + 2 :]])
-        assert N.one_edit(a, b) and N._less_one(a) & N._less_one(b)
-    assert N.common_subsequence("兰枣交所", "兰渡枣谷交通研究所") == 4
-
-
 def test_term_counts_by_deltas(spark):
     """State after several merges equals a count from scratch; a manifest names each version."""
     rng = random.Random(3)

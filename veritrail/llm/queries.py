@@ -109,7 +109,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different strings that name the same person or organisation."""
-    return variant_pairs(_names(spark, sf_dir))
+    return variant_pairs(materialize(linked_names(_names(spark, sf_dir)), "linked"))
 
 
 def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
