@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritrail.llm import name_variants as N
 from veritrail.llm.codes import gram_hashes
 from veritrail.llm.leakage import bare, item_sketches, leaked_items, least_common
-from veritrail.llm.packing import pack_items
+from veritrail.llm.packing import byte_sized, pack_items, windows
 from veritrail.llm.repetition import clean_lines
 from veritrail.llm.same_look import look_map, same_look, same_look_pairs
 from veritrail.llm.shared_spans import shared_spans
@@ -200,6 +200,32 @@ def test_packing(spark):
     assert all((len(v) > 1) == (sizes[k] > 4096) for k, v in parts.items())
     assert len(fills) <= 1.02 * -(-sum(sizes.values()) // 4096) + 1
     assert pack_items(df.limit(0)).count() == 0
+    assert Counter(r["container_id"] for r in out if r["size"] == 4096).most_common(1)[0][1] == 1
+
+
+def test_packing_of_texts(spark):
+    """A text larger than a container is divided at ends of characters, and the containers' tokens spell the texts."""
+    rng = random.Random(16)
+    texts = [(k, "".join(rng.choice("甲é😀a") for _ in range(rng.randint(0, 400))), None) for k in range(200)] + [(900, "甲" * 3000, None), (901, "😀é甲a" * 2000, 20001), (902, None, None), (903, "abc", 4), (903, "abc", 4)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, n_tokens int").withColumn("cuts", F.lit("clash"))
+    packed = pack_items(byte_sized(docs), group_size=50)
+    rows = packed.collect()
+    raw = {k: t.encode() for k, t, _ in texts if t is not None}
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r["item_id"]].append((r["part_no"], r["part_offset"], r["size"]))
+    for k, v in parts.items():
+        v.sort()
+        assert all(n <= 4096 for _, _, n in v) and sum(n for _, _, n in v) == len(raw[k]) + 1 and (len(v) > 1) == (len(raw[k]) >= 4096)
+        assert all(raw[k][at : at + n].decode() is not None for _, at, n in v)
+    assert set(parts) == set(raw)
+    made = {r["container_id"]: r for r in windows(packed, docs).collect()}
+    assert set(made) == {r["container_id"] for r in rows}
+    for key, w in made.items():
+        spelled = []
+        for k, _, at, n in sorted((r["item_id"], r["part_no"], r["part_offset"], r["size"]) for r in rows if r["container_id"] == key):
+            spelled += ([b + 3 for b in raw[k]] + [1])[at : at + n]
+        assert list(w["tokens"]) == spelled and len(spelled) <= 4096
 
 
 def test_leakage(spark):

@@ -6,9 +6,9 @@ level the containers at it, are kept in an array indexed by level; levels are co
 tokens, as thousands of levels with a container each would leave nothing to choose between.
 
 At scale each group of some `group_size` documents (by hash of the id) is packed for itself, which leaves
-a few containers a group partly filled. Their documents are packed once more, in groups that take in as
-many of the first ones, largest first into the fullest container that has room. Both passes are bounded
-by the group size, whatever the collection's size.
+a few containers a group partly filled. The documents of containers with more than `slack` of their capacity free
+are packed again in the same way, largest first, `widen` groups together, as often as it takes until one group is left, and
+once more. So no task ever holds more than a group, and what is left over at the end is a few containers in all.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from ..session import materialize
 CAPACITY = 4096
 GROUP_SIZE = 20_000
 GRAIN = 16
-FULL_ENOUGH = 0.97
+SLACK = 0.02
+WIDEN = 32
 
 
 class SumOfSquares:
@@ -62,36 +64,11 @@ class SumOfSquares:
         return number
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[int]:
-    """Container number of each item, largest first, each into the fullest container that has room."""
-    rooms = np.zeros(0, np.int64)
-    out = [0] * len(sizes)
-    free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    has = np.zeros(capacity + 1, bool)
-    made = rooms.size
-    for n in sorted(range(len(sizes)), key=lambda n: (-sizes[n], n)):
-        s = sizes[n]
-        fits = np.flatnonzero(has[s:])
-        if fits.size:
-            room = s + int(fits[0])
-            number = free[room].pop()
-            has[room] = bool(free[room])
-        else:
-            room, number, made = capacity, made, made + 1
-        out[n] = number
-        free[room - s].append(number)
-        has[room - s] = True
-    return out
-
-
-def _pack(capacity: int, online: bool):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack(capacity: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order_key", "item_id", "part_no"], kind="stable")
-        if online:
-            packer = SumOfSquares(capacity)
-            pdf["container"] = [packer.put(int(s)) for s in pdf["size"]]
-        else:
-            pdf["container"] = best_fit([int(s) for s in pdf["size"]], capacity)
+        packer = SumOfSquares(capacity)
+        pdf["container"] = [packer.put(int(s)) for s in pdf["size"]]
         fill = pdf.groupby("container")["size"].transform("sum")
         return pdf.assign(fill=fill)[["group_id", "item_id", "part_no", "part_offset", "size", "container", "fill"]]
 
@@ -101,25 +78,92 @@ def _pack(capacity: int, online: bool):
 _OUT = "group_id bigint, item_id bigint, part_no int, part_offset bigint, size int, container int, fill bigint"
 
 
-def pack_items(items: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, full_enough: float = FULL_ENOUGH) -> DataFrame:
-    """item_id, size -> container_id (string), item_id, part_no, part_offset, size, fill (of the container).
-
-    An item larger than the capacity, and no other, is divided: into parts of the capacity and a rest; the
-    parts' offsets are in units of size. Items of size null, zero or less take no room and are left out.
-    A repeated item_id counts once, with its largest size. Equal sizes and ties go by item_id."""
-    items = items.filter("size > 0").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.max("size").cast("bigint").alias("total"))
-    parts = items.select("item_id", "total", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1, F.lit(capacity).cast("bigint"))).alias("part_no", "part_offset"))
-    parts = parts.withColumn("size", F.least(F.lit(capacity).cast("bigint"), F.col("total") - F.col("part_offset")).cast("int"))
-    whole = parts.filter(F.col("size") == capacity).select(F.concat(F.lit("w"), "item_id", F.lit("-"), "part_no").alias("container_id"), "item_id", "part_no", "part_offset", "size", F.lit(capacity).cast("bigint").alias("fill"))
-    loose = parts.filter(F.col("size") < capacity)
+def pack_items(items: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, slack: float = SLACK, widen: int = WIDEN) -> DataFrame:
+    """item_id, size, and maybe cuts -> container_id (string), item_id, part_no, part_offset, size, fill (of the container).
+
+    An item larger than the capacity, and no other, is divided: at its cuts (array of the offsets at which its parts begin,
+    0 first, no part larger than the capacity), or where there are none into parts of the capacity and a rest. Offsets
+    are in units of size. Items of size null, zero or less take no room and are left out. A repeated item_id counts
+    once, with its largest size. Equal sizes and ties go by item_id."""
+    if "cuts" not in items.columns:
+        items = items.withColumn("cuts", F.lit(None).cast("array<bigint>"))
+    items = items.filter("size > 0").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.max(F.struct(F.col("size").cast("bigint").alias("total"), "cuts")).alias("m")).select("item_id", "m.*")
+    items = materialize(items, "sizes")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1, F.lit(capacity).cast("bigint"))
+    starts = F.when((F.col("total") > capacity) & F.col("cuts").isNotNull(), F.col("cuts").cast("array<bigint>")).otherwise(steps)
+    parts = items.select("item_id", "total", starts.alias("starts")).select("item_id", "total", "starts", F.posexplode("starts").alias("part_no", "part_offset"))
+    parts = parts.withColumn("size", (F.coalesce(F.get("starts", F.col("part_no") + 1), F.col("total")) - F.col("part_offset")).cast("int"))
+    place = ("item_id", "part_no", "part_offset", "size")
+    done = parts.filter(F.col("size") == capacity).select(F.concat(F.lit("w"), "item_id", F.lit("-"), "part_no").alias("container_id"), *place, F.lit(capacity).cast("bigint").alias("fill"))
     groups = max(1, -(-items.count() // group_size))
-    loose = loose.select(F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("group_id"), F.xxhash64(F.lit(7), "item_id").alias("order_key"), "item_id", "part_no", "part_offset", "size")
-    # by number: a group is little data but much work, so groups mustn't be put together by size
-    loose = loose.repartition(int(min(groups, 4096)), "group_id")
-    first = materialize(loose.groupBy("group_id").applyInPandas(_pack(capacity, True), _OUT), "packed")
-    ready = first.filter(F.col("fill") >= full_enough * capacity)
-    wider = max(1, groups // 32)
-    rest = first.filter(F.col("fill") < full_enough * capacity).select(F.pmod("group_id", F.lit(wider)).alias("group_id"), F.lit(0).cast("bigint").alias("order_key"), "item_id", "part_no", "part_offset", "size")
-    second = rest.groupBy("group_id").applyInPandas(_pack(capacity, False), _OUT)
-    named = lambda df, mark: df.select(F.concat(F.lit(mark), "group_id", F.lit("-"), "container").alias("container_id"), "item_id", "part_no", "part_offset", "size", "fill")
-    return whole.unionByName(named(ready, "a")).unionByName(named(second, "b"))
+    order = F.xxhash64(F.lit(7), "item_id")
+    rest, number = parts.filter(F.col("size") < capacity).select(F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("group_id"), *place), 0
+    while True:
+        # by number: a group is little data but much work, so groups mustn't be put together by size
+        loose = rest.withColumn("order_key", order).repartition(int(min(groups, 4096)), "group_id")
+        packed = materialize(loose.groupBy("group_id").applyInPandas(_pack(capacity), _OUT), "packed")
+        last = groups == 1 and number > 1
+        full = F.lit(True) if last else F.col("fill") >= (1 - slack) * capacity
+        done = done.unionByName(packed.filter(full).select(F.concat(F.lit(f"r{number}-"), "group_id", F.lit("-"), "container").alias("container_id"), *place, "fill"))
+        if last:
+            return done
+        groups, number, order = max(1, groups // widen), number + 1, -F.col("size").cast("bigint")
+        rest = packed.filter(~full).select(F.pmod("group_id", F.lit(groups)).alias("group_id"), *place)
+
+
+def byte_cuts(size: str = "size", text: str = "text", capacity: int = CAPACITY):
+    """A function for mapInArrow over item_id, size, text -> item_id, size, cuts: for texts whose tokens are their UTF-8
+    bytes and an end mark, the offsets of parts of at most the capacity that end at the ends of characters."""
+    schema = pa.schema([("item_id", pa.int64()), ("size", pa.int64()), ("cuts", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, n, content in zip(*(batch.column(c).to_pylist() for c in ("item_id", size, text))):
+                raw, cuts = content.encode("utf-8", "surrogatepass"), [0]
+                while n - cuts[-1] > capacity:
+                    at = cuts[-1] + capacity
+                    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+                        at -= 1
+                    cuts.append(at)
+                out.append((item, n, cuts))
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def byte_sized(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, text, n_tokens (may be null) -> item_id, size, cuts: sizes in tokens of the ByT5 tokenizer (UTF-8 bytes and
+    an end mark). A missing size is worked out from the text, and only then, or to divide it, does the text count."""
+    size = F.coalesce(F.col("n_tokens").cast("bigint"), F.octet_length("text").cast("bigint") + 1)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("item_id"), size.alias("size"), "text")
+    none = F.lit(None).cast("array<bigint>").alias("cuts")
+    large = rows.filter((F.col("size") > capacity) & F.col("text").isNotNull()).mapInArrow(byte_cuts(capacity=capacity), "item_id bigint, size bigint, cuts array<bigint>")
+    return rows.filter((F.col("size") <= capacity) | F.col("text").isNull()).select("item_id", "size", none).unionByName(large)
+
+
+def _windows(capacity: int):
+    schema = pa.schema([("container_id", pa.string()), ("n_parts", pa.int32()), ("tokens", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, parts in zip(batch.column("container_id").to_pylist(), batch.column("parts").to_pylist()):
+                tokens: list[int] = []
+                for p in sorted(parts, key=lambda p: (p["item_id"], p["part_no"])):
+                    ids = [b + 3 for b in p["content"]]
+                    tokens += ids + [1] * (p["size"] - len(ids))
+                out.append((key, len(parts), tokens))
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def windows(packed: DataFrame, docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """packed (of pack_items over byte_sized(docs)), docs (doc_id, text) -> container_id, n_parts, tokens: the token ids
+    of each container (a byte's id is its value plus 3, the end mark is 1). A container holds at most the capacity, so
+    nothing larger is ever collected."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("item_id"), F.encode("text", "UTF-8").alias("bytes")).dropDuplicates(["item_id"])
+    content = F.expr("substring(bytes, cast(part_offset + 1 as int), size)").alias("content")
+    parts = packed.join(texts, "item_id").select("container_id", F.struct("item_id", "part_no", "size", content).alias("part"))
+    return parts.groupBy("container_id").agg(F.collect_list("part").alias("parts")).mapInArrow(_windows(capacity), "container_id string, n_parts int, tokens array<int>")

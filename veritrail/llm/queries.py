@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
 from .leakage import bare_map, leaked_items
 from .name_variants import linked_names, variant_pairs
-from .packing import CAPACITY, pack_items
+from .packing import CAPACITY, byte_sized, pack_items, windows
 from .repetition import BLANKS, ENDS, GRAM, LIMIT, LINE_SHARE, SEPARATORS, SHORT, clean_lines
 from .same_look import same_look_pairs
 from .shared_spans import shared_spans
@@ -126,10 +127,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(chunks.unionByName(claims).unionByName(names))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_items(byte_sized(table(spark, sf_dir, "documents").select("doc_id", "text", "n_tokens")), CAPACITY)
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, by size in tokens, in containers of 4,096 tokens; a missing size is worked out from the text."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce(F.col("n_tokens"), F.octet_length("text") + 1).alias("size"))
-    return pack_items(docs, CAPACITY).select("container_id", F.col("item_id").alias("doc_id"), "part_no", "part_offset", F.col("size").alias("tokens"), F.col("fill").alias("container_tokens"))
+    return _packed(spark, sf_dir).select("container_id", F.col("item_id").alias("doc_id"), "part_no", "part_offset", F.col("size").alias("tokens"), F.col("fill").alias("container_tokens"))
+
+
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: each document with all its tokens, divided only if larger than a container, no
+    container beyond its capacity."""
+    rows = _packed(spark, sf_dir).withColumn("_filled", F.sum("size").over(W.partitionBy("container_id")))
+    return rows.groupBy(F.col("item_id").alias("doc_id")).agg(F.sum("size").alias("tokens"), (F.count(F.lit(1)) > 1).alias("divided"), (F.max("_filled") <= CAPACITY).alias("within"))
+
+
+def p6_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens packed, and whether the containers are at most 2 % (and two) more than their tokens need."""
+    rows = _packed(spark, sf_dir).agg(F.sum("size").alias("tokens"), F.count_distinct("container_id").alias("_made"))
+    return rows.select("tokens", (F.col("_made") <= F.col("tokens") / CAPACITY * 1.02 + 2).alias("little_left"))
+
+
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers as sequences of token ids: number of documents and tokens, digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_tokens")
+    rows = windows(_packed(spark, sf_dir), docs)
+    return rows.select("container_id", "n_parts", F.size("tokens").alias("n_tokens"), F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"))).alias("digest"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +181,7 @@ def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_entities, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p6_packed, p7_found, p7_leaks, p8_found, p8_lines)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_entities, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p6_packed, p6_totals, p6_space, p6_windows, p7_found, p7_leaks, p8_found, p8_lines)}
 
 
 _P1 = """
@@ -179,6 +203,7 @@ _P8 = """
   h AS (SELECT doc_id, count(DISTINCT at_char) AS hit FROM (SELECT doc_id, unnest(range(i, i + 10)) AS at_char FROM a) GROUP BY doc_id)"""
 
 
+_P6 = "s AS (SELECT doc_id, CAST(max(coalesce(n_tokens, strlen(text) + 1)) AS BIGINT) AS tokens FROM documents GROUP BY doc_id)"
 _P7_MAP = bare_map()
 _P7 = f"""
   WITH t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION SELECT 'i', item_id, claim_text FROM gold_annotations WHERE claim_text IS NOT NULL),
@@ -209,6 +234,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"{_P1} SELECT DISTINCT rec_kind, rec_id FROM f",
         "p3_found": f"{_P3} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_counts": f"{_P3} SELECT * FROM m",
+        "p6_totals": f"WITH {_P6} SELECT doc_id, tokens, tokens > {CAPACITY} AS divided, true AS within FROM s WHERE tokens > 0",
+        "p6_space": f"WITH {_P6} SELECT CAST(sum(tokens) AS BIGINT) AS tokens, true AS little_left FROM s",
         "p7_found": f"{_P7} SELECT doc_id, item_id FROM l",
         "p7_leaks": f"{_P7} SELECT * FROM l",
         "p8_lines": f"{_P8_LINES} SELECT * EXCLUDE (cleaned), n_chars > 0 AND repeated_chars >= {LIMIT} * n_chars AS rejected, round(repeated_chars / greatest(n_chars, 1), 6) AS repeated_share, length(cleaned) AS kept_chars, md5(cleaned) AS cleaned_md5 FROM z",
