@@ -17,7 +17,7 @@ from veritrail.llm.repetition import clean_lines
 from veritrail.llm.same_look import look_map, same_look, same_look_pairs
 from veritrail.llm.shared_spans import shared_spans
 from veritrail.llm.splitting import split_items, split_plan
-from veritrail.llm.term_counts import TermCounts, changes, marked_terms, pair_deltas, value_deltas
+from veritrail.llm.term_counts import TermStore, latest_texts, marked_terms, pair_deltas, value_deltas
 
 ALPHABET = "甲乙丙丁戊己庚辛壬癸"
 
@@ -92,22 +92,7 @@ def test_names_of_two_places_stay_apart(spark):
     assert len({r["entity"] for r in got}) == len(names)
 
 
-def test_term_counts_by_deltas(spark):
-    """State after several merges equals a count from scratch; a manifest names each version."""
-    rng = random.Random(3)
-    deliveries, now = [], {}
-    for step in range(120):
-        key, text = rng.randrange(40), rng.choice([None, "", some_text(rng, rng.randint(0, 30)) + "a" + some_text(rng, 3)])
-        text = now.get(key, text) if rng.random() < 0.2 else text
-        deliveries.append((key, text, step))
-        now[key] = text
-    df = spark.createDataFrame(deliveries, "key bigint, text string, ts bigint").withColumn("sign", F.lit("clash"))
-    signed = changes(df, "key", "text", "ts", F.floor(F.col("ts") / 40).cast("int")).cache()
-    counts = TermCounts(spark, buckets=4)
-    for epoch in range(3):
-        mine = signed.filter(F.col("epoch") == epoch)
-        counts = counts.merge(pair_deltas(mine, "pair").unionByName(value_deltas(mine, "value")))
-    got = {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in TermCounts.open(spark, counts.path, counts.version).read().collect()}
+def counts_by_force(now):
     occurrences, records = Counter(), Counter()
     for t in now.values():
         pairs = [t[i : i + 2] for i in range(len(t or "") - 1) if all("一" <= c <= "鿿" for c in t[i : i + 2])]
@@ -116,17 +101,52 @@ def test_term_counts_by_deltas(spark):
         if t:
             occurrences.update([("value", t)])
             records.update([("value", t)])
-    expected = {k: (occurrences[k], records[k]) for k in occurrences} | {("pair", None): (0, len(now)), ("value", None): (sum(1 for t in now.values() if t),) * 2}
-    assert {k: v for k, v in got.items() if k != ("pair", None)} == {k: v for k, v in expected.items() if k != ("pair", None)}
-    assert got["pair", None][1] == len(now)
-    marks = {(r["field"], r["term"]): r["mark"] for r in marked_terms(counts.read(), {"pair": 0.3, "value": 0.5}).collect()}
-    assert all(marks[k] == ("common" if n > 0.3 * len(now) else "rare" if n == 1 else None) for k, n in records.items() if k[0] == "pair")
-
-
-def test_term_counts_of_nothing(spark):
-    empty = spark.createDataFrame([], "key bigint, text string, ts bigint")
-    counts = TermCounts(spark).merge(pair_deltas(changes(empty, "key", "text", "ts", F.lit(0)), "pair"))
-    assert counts.read().count() == 0 and marked_terms(counts.read(), {"pair": 0.2}).count() == 0
+    full = {k: (occurrences[k], records[k]) for k in occurrences}
+    return full | {("pair", None): (len(now),) * 2 if now else None, ("value", None): (sum(1 for t in now.values() if t),) * 2 if any(now.values()) else None}
+
+
+def test_term_store_lives(spark, tmp_path, monkeypatch):
+    """Records are added, changed, emptied and deleted; after each update, by a store opened anew, the counts equal those
+    from scratch, totals too; an update without changes counts nothing; a run that was stopped leaves the version before."""
+    from veritrail.llm import term_counts
+
+    monkeypatch.setattr(term_counts, "BUCKET_TERMS", 40)
+    rng, path = random.Random(3), str(tmp_path / "store")
+    now: dict[int, str | None] = {}
+    for step in range(4):
+        for _ in range(25):
+            now[rng.randrange(40)] = rng.choice([None, "", some_text(rng, rng.randint(0, 30)) + "a" + some_text(rng, 3)])
+        for key in rng.sample(sorted(now), 5 if step else 0):
+            del now[key]
+        if step == 3:
+            now = {}
+        df = spark.createDataFrame(list(now.items()), "key bigint, text string").withColumn("sign", F.lit("clash"))
+        store = TermStore(spark, path)
+        assert store.version == step + (step > 1)
+        read = df.select("key", "text")
+        store = store.update({"pair": (read, pair_deltas), "value": (read, value_deltas)})
+        got = {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in TermStore(spark, path).read().collect()}
+        assert got == {k: v for k, v in counts_by_force(now).items() if v}
+        if step == 1:  # the same again
+            again = store.update({"pair": (read, pair_deltas), "value": (read, value_deltas)})
+            assert again.parts == store.parts and again.version == store.version + 1
+        if now:
+            marks = {(r["field"], r["term"]): r["mark"] for r in marked_terms(store.read(), {"pair": 0.3, "value": 0.5}).collect()}
+            assert all(marks[k] == ("common" if n > 0.3 * len(now) else "rare" if n == 1 else None) for k, (_, n) in got.items() if k[0] == "pair" and k[1])
+    (tmp_path / "store" / "manifest" / "v9").mkdir()
+    assert TermStore(spark, path).version == 5
+
+
+def test_latest_texts(spark):
+    rows = [(1, "a", 1), (1, "b", 2), (1, "c", 2), (2, None, 1), (3, "x", None), (3, "y", 0), (4, "z", 5), (4, None, 6), (5, "s", 1), (5, "s", 1)]
+    df = spark.createDataFrame(rows, "id bigint, text string, ts bigint").withColumn("key", F.lit("clash"))
+    assert sorted((r["key"], r["text"]) for r in latest_texts(df.drop("key"), "id", "text", "ts").collect()) == [(1, "c"), (2, None), (3, "y"), (4, None), (5, "s")]
+
+
+def test_term_store_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "key bigint, text string")
+    store = TermStore(spark, str(tmp_path)).update({"pair": (empty, pair_deltas)})
+    assert store.read().count() == 0 and marked_terms(store.read(), {"pair": 0.2}).count() == 0
 
 
 def can_split(text, limit, overlap):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ..sources.tables import table
 from .leakage import bare_map, leaked_items
 from .name_variants import linked_names, variant_pairs
@@ -17,7 +19,7 @@ from .repetition import BLANKS, ENDS, GRAM, LIMIT, LINE_SHARE, SEPARATORS, SHORT
 from .same_look import same_look_pairs
 from .shared_spans import shared_spans
 from .splitting import split_items
-from .term_counts import TermCounts, changes, marked_terms, pair_deltas, value_deltas
+from .term_counts import TermStore, latest_texts, marked_terms, pair_deltas, value_deltas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,32 +61,33 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMON = {"matched_keyword": 0.01, "text": 0.2}
 
 
-def _term_counts(spark: SparkSession, sf_dir: str) -> TermCounts:
-    """Two deliveries merged into persistent counts: what was loaded up to the middle of the loading
-    period, then what was added or changed after it."""
-    fields = (("checklist_result", "claim_id", "matched_keyword", "checked_ts", value_deltas), ("chunks", "chunk_id", "text", "loaded_ts", pair_deltas))
-    deltas = None
-    for name, key, text, ts, count in fields:
-        df = table(spark, sf_dir, name).select(key, text, ts)
-        low, high = df.agg(F.min(ts).cast("double"), F.max(ts).cast("double")).first()
-        middle = ((low or 0) + (high or 0)) / 2
-        part = count(changes(df, key, text, ts, F.coalesce((F.col(ts).cast("double") > middle).cast("int"), F.lit(0))), text)
-        deltas = part if deltas is None else deltas.unionByName(part)
-    log = materialize(deltas.groupBy("epoch", "field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "term-deltas")
-    counts = TermCounts(spark)
-    for epoch in (0, 1):
-        counts = counts.merge(log.filter(F.col("epoch") == epoch))
-    return counts
+def _term_counts(spark: SparkSession, sf_dir: str, name: str) -> TermStore:
+    """The store of that name, brought up to date. A new one is filled as it would have grown: first with what was
+    loaded in the first nine tenths of the loading period, then with what was added or changed after that. A later call
+    finds the store that an earlier one left, and counts only what differs from it."""
+    fields = {"matched_keyword": ("checklist_result", "claim_id", "matched_keyword", "checked_ts", value_deltas), "text": ("chunks", "chunk_id", "text", "loaded_ts", pair_deltas)}
+    store = TermStore(spark, f"{shared_dir(spark)}/veritrail-terms/{name}")
+    rows = {field: table(spark, sf_dir, name).select(key, text, ts) for field, (name, key, text, ts, _) in fields.items()}
+    if not store.version:
+        early = {}
+        for field, (_, key, text, ts, count) in fields.items():
+            low, high = rows[field].agg(F.min(ts).cast("double"), F.max(ts).cast("double")).first()
+            until = (low or 0) + ((high or 0) - (low or 0)) * 0.9
+            early[field] = (latest_texts(rows[field].filter(F.col(ts).isNull() | (F.col(ts).cast("double") <= until)), key, text, ts), count)
+        store = store.update(early)
+    return store.update({field: (latest_texts(rows[field], key, text, ts), count) for field, (_, key, text, ts, count) in fields.items()})
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values and adjacent pairs of ideographs that are too rare or too common, with their mark."""
-    return marked_terms(_term_counts(spark, sf_dir).read(), COMMON).filter("mark is not null").select("field", "term", "mark")
+    """Values and adjacent pairs of ideographs that are too rare or too common, with their mark; by a store of its own
+    for each call, so that each call counts everything."""
+    return marked_terms(_term_counts(spark, sf_dir, uuid.uuid4().hex).read(), COMMON).filter("mark is not null").select("field", "term", "mark")
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences and records of every value and pair, with marks."""
-    return marked_terms(_term_counts(spark, sf_dir).read(), COMMON).withColumn("share", F.round("share", 9))
+    """Occurrences and records of every value and pair, with marks, from the store of the data folder: a second call
+    counts only what has changed."""
+    return marked_terms(_term_counts(spark, sf_dir, hashlib.md5(sf_dir.encode()).hexdigest()).read(), COMMON).withColumn("share", F.round("share", 9))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

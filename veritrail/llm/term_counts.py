@@ -1,97 +1,89 @@
 """Problem 3: how often each value or term occurs and in how many records, kept up to date by signed deltas.
 
-`changes` turns deliveries into signed texts: +1 for a record's text as delivered, -1 for the text that
-it replaces; a delivery with the same text gives nothing. `value_deltas` and `pair_deltas` aggregate
-those to changes of occurrences and of record counts by term, within each Arrow batch and partition
-before anything is shuffled. `TermCounts` keeps the counts in files by hash bucket of the term and merges
-deltas into the touched buckets only; a version becomes visible when its manifest is written.
+`TermStore` is a folder that outlives the session. It holds the counts in files by hash bucket of the term, and for each
+record a digest and the text as last counted. `update` takes the records as they are now. A join of digests, without texts,
+tells which records were added, changed or deleted; only their texts are read: the new ones count +1, those that they
+replace, or that are gone, count -1. These signed texts are aggregated to changes of occurrences and record counts by
+term, within each Arrow batch and partition before anything is shuffled, and merged into the buckets that they touch.
+A version becomes visible when its manifest is written, so a run that was stopped leaves the one before.
 The number of records of a field is itself kept, as the count of the term null.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import materialize
 from .codes import code_points, whole
 
-DELTA = "epoch int, field string, term string, occurrences bigint, records bigint"
+DELTA = "field string, term string, occurrences bigint, records bigint"
+#: Terms of a bucket; with more the number of buckets is doubled.
+BUCKET_TERMS = 1 << 17
 _FIRST, _LAST = 0x4E00, 0x9FFF
 _WIDTH = _LAST - _FIRST + 1
 
 
-def changes(deliveries: DataFrame, key: str, text: str, order: str, epoch: Column) -> DataFrame:
-    """epoch, sign, text. Deliveries of a key follow each other by `order`; a delivery whose text is null
-    takes the record's text away (its record remains counted in the field's total).
+def latest_texts(deliveries: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """key, text: each record once, as delivered last (equal times go by text; a null time is the oldest).
 
-    Equal times are put in order by text, so the outcome is fixed for any order of rows."""
-    w = W.partitionBy(key).orderBy(F.asc_nulls_first(order), F.asc_nulls_first(text))
-    rows = deliveries.select(key, F.col(text).alias("text"), order, epoch.alias("epoch"), F.lag(text).over(w).alias("before"), F.row_number().over(w).alias("n"))
-    rows = rows.filter("n = 1 or not (text <=> before)")
-    plus = F.struct(F.lit(1).alias("sign"), F.col("text").alias("text"))
-    minus = F.struct(F.lit(-1).alias("sign"), F.col("before").alias("text"))
-    signed = F.explode(F.when(F.col("n") == 1, F.array(plus)).otherwise(F.array(plus, minus))).alias("s")
-    return rows.select("epoch", signed).select("epoch", "s.sign", "s.text")
+    Records delivered once, nearly all, aren't shuffled: the keys of the others are found without texts."""
+    rows = deliveries.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(order).alias("_at"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc_nulls_last("_at"), F.desc_nulls_last("text")))
+    again = rows.join(several, "key", "left_semi").withColumn("_rank", rank).filter("_rank = 1")
+    return rows.join(several, "key", "left_anti").select("key", "text").unionByName(again.select("key", "text"))
 
 
 def value_deltas(signed: DataFrame, field: str) -> DataFrame:
     """Each whole text is one term; null and empty texts are no terms and no records of the field."""
     texts = signed.filter("text is not null and text <> ''")
     sums = (F.sum("sign").cast("bigint").alias("occurrences"), F.sum("sign").cast("bigint").alias("records"))
-    terms = texts.groupBy("epoch", F.lit(field).alias("field"), F.col("text").alias("term")).agg(*sums)
-    total = texts.groupBy("epoch").agg(*sums).select("epoch", F.lit(field).alias("field"), F.lit(None).cast("string").alias("term"), "occurrences", "records")
+    terms = texts.groupBy(F.lit(field).alias("field"), F.col("text").alias("term")).agg(*sums)
+    total = texts.agg(*sums).select(F.lit(field).alias("field"), F.lit(None).cast("string").alias("term"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("occurrences", "records")))
     return terms.unionByName(total)
 
 
 def _pairs(field: str, most_held: int = 1 << 20):
-    schema = pa.schema([("epoch", pa.int32()), ("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+    schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+    none = (np.empty(0, np.int64),) * 3
 
-    def add(old: tuple[np.ndarray, ...] | None, new: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        if old is not None:
-            new = tuple(np.concatenate(x) for x in zip(old, new))
-        ids, where = np.unique(new[0], return_inverse=True)
-        return ids, *(np.bincount(where, weights=x, minlength=ids.size).astype(np.int64) for x in new[1:])
-
-    def out(epoch: int, held: tuple[np.ndarray, ...], total: int) -> pa.RecordBatch:
+    def out(held: tuple[np.ndarray, ...], total: int) -> pa.RecordBatch:
         ids, occurrences, records = held
         pairs = np.stack([ids // _WIDTH + _FIRST, ids % _WIDTH + _FIRST], axis=1).astype(np.uint32)
         joined = pairs.tobytes().decode("utf-32-le")
         terms = [joined[i : i + 2] for i in range(0, len(joined), 2)]
-        return pa.record_batch(
-            [pa.array([epoch] * (len(terms) + 1), pa.int32()), pa.array([field] * (len(terms) + 1)), pa.array([*terms, None], pa.string()),
-             pa.array([*occurrences, total], pa.int64()), pa.array([*records, total], pa.int64())], schema=schema)
+        return pa.record_batch([pa.array([field] * (len(terms) + 1)), pa.array([*terms, None], pa.string()), pa.array([*occurrences, total], pa.int64()), pa.array([*records, total], pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, ...]] = {}
-        totals: dict[int, int] = {}
+        held, total = none, 0
         for batch in batches:
-            epochs, signs = batch.column("epoch").to_numpy(), batch.column("sign").to_numpy()
-            for e in np.unique(epochs):
-                totals[int(e)] = totals.get(int(e), 0) + int(signs[epochs == e].sum())
+            signs = batch.column("sign").to_numpy().astype(np.int64)
+            total += int(signs.sum())
             for numbers, pieces in whole(batch.column("text").to_pylist()):
                 codes, lengths = code_points(pieces)
                 inside = (codes >= _FIRST) & (codes <= _LAST)
-                both = inside[:-1] & inside[1:]
                 text_of = np.repeat(np.arange(len(pieces)), lengths)
-                at = np.flatnonzero(both & (text_of[:-1] == text_of[1:])) if codes.size else np.empty(0, np.int64)
+                at = np.flatnonzero(inside[:-1] & inside[1:] & (text_of[:-1] == text_of[1:])) if codes.size else np.empty(0, np.int64)
                 pair = (codes[at].astype(np.int64) - _FIRST) * _WIDTH + (codes[at + 1] - _FIRST)
-                keys, count = np.unique(text_of[at].astype(np.int64) << 29 | pair, return_counts=True)
-                number = np.asarray(numbers, np.int64)[keys >> 29]
-                sign, epoch, pair = signs[number].astype(np.int64), epochs[number], keys & ((1 << 29) - 1)
-                for e in np.unique(epoch):
-                    mine = epoch == e
-                    held[int(e)] = add(held.get(int(e)), (pair[mine], sign[mine] * count[mine], sign[mine]))
-                    if held[int(e)][0].size > most_held:
-                        yield out(int(e), held.pop(int(e)), 0)
-        for e in {*held, *totals}:
-            yield out(e, held.get(e, (np.empty(0, np.int64),) * 3), totals.get(e, 0))
+                keys = text_of[at].astype(np.int64) << 29 | pair
+                keys.sort()
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else keys
+                count, keys = np.diff(np.r_[first, keys.size]), keys[first]
+                sign = signs[np.asarray(numbers, np.int64)[keys >> 29]]
+                new = (np.r_[held[0], keys & ((1 << 29) - 1)], np.r_[held[1], sign * count], np.r_[held[2], sign])
+                ids, where = np.unique(new[0], return_inverse=True)
+                held = (ids, *(np.bincount(where, weights=x, minlength=ids.size).astype(np.int64) for x in new[1:]))
+                if ids.size > most_held:
+                    yield out(held, 0)
+                    held = none
+        yield out(held, total)
 
     return run
 
@@ -99,58 +91,103 @@ def _pairs(field: str, most_held: int = 1 << 20):
 def pair_deltas(signed: DataFrame, field: str) -> DataFrame:
     """Terms are the pairs of adjacent ideographs U+4E00 to U+9FFF; pairs may overlap, each counts.
     Every record counts in the total, whether or not its text is null, empty or has such pairs."""
-    return signed.select(F.col("epoch").cast("int"), F.col("sign").cast("int"), "text").mapInArrow(_pairs(field), DELTA)
+    return signed.select(F.col("sign").cast("int"), "text").mapInArrow(_pairs(field), DELTA)
+
 
+class TermStore:
+    """Counts by field and term in a folder that all executors share, as of a version. One writer at a time."""
 
-class TermCounts:
-    """Counts by field and term in a folder that all executors share."""
+    COUNTS = "field string, term string, occurrences bigint, records bigint"
+    INDEX = "field string, key bigint, digest_a bigint, digest_b bigint, part string"
+    TEXTS = "field string, key bigint, text string"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or f"{shared_dir(spark)}/veritrail/term-counts-{uuid.uuid4().hex}"
-        self.version = 0
+    def __init__(self, spark: SparkSession, path: str):
+        """The newest version in the folder; an empty store where there is none."""
+        self.spark, self.path, self.version, self.buckets = spark, path, 0, 1
         self.parts: dict[int, str] = {}
-        self.schema = "field string, term string, occurrences bigint, records bigint"
+        self.index_folder: str | None = None
+        versions = [int(name[1:]) for name in _folders(spark, f"{path}/manifest")]
+        if versions:
+            self.version = max(versions)
+            rows = spark.read.parquet(f"{path}/manifest/v{self.version}").collect()  # a row a bucket
+            self.buckets, self.index_folder = rows[0]["buckets"], rows[0]["index_folder"]
+            self.parts = {r["bucket"]: r["folder"] for r in rows if r["folder"]}
 
-    @classmethod
-    def open(cls, spark: SparkSession, path: str, version: int) -> TermCounts:
-        """The counts as of a version, of which the manifest names each bucket's folder (at most `buckets` rows)."""
-        rows = spark.read.parquet(f"{path}/manifest/v{version}").collect()
-        counts = cls(spark, path, rows[0]["buckets"])
-        counts.version, counts.parts = version, {r["bucket"]: r["folder"] for r in rows if r["folder"]}
-        return counts
+    def _read(self, schema: str, *folders: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
-        folders = [f for b, f in self.parts.items() if buckets is None or b in buckets]
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def merge(self, deltas: DataFrame) -> TermCounts:
-        """The counts after the deltas. Only buckets that a delta touches are read and written again;
-        terms whose counts come to nothing leave. The old version stays whole until it is removed."""
-        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int").alias("bucket")
-        deltas = deltas.select("field", "term", "occurrences", "records")
-        touched = None
-        if self.parts:
-            touched = sorted(r[0] for r in deltas.select(bucket).distinct().collect())  # at most `buckets` rows
-            deltas = self.read(touched).unionByName(deltas)
-        sums = deltas.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        version = self.version + 1
-        folder = f"{self.path}/v{version}"
-        sums.filter("occurrences <> 0 or records <> 0").withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(folder)
-        written = {int(r[0]) for r in self.spark.read.parquet(folder).select("bucket").distinct().collect()} if _filled(self.spark, folder) else set()
-        after = TermCounts(self.spark, self.path, self.buckets)
-        after.version = version
-        after.parts = {b: f for b, f in self.parts.items() if touched is not None and b not in touched} | {b: f"{folder}/bucket={b}" for b in written}
-        rows = [(b, after.parts.get(b), self.buckets) for b in range(self.buckets)]
-        self.spark.createDataFrame(rows, "bucket int, folder string, buckets int").coalesce(1).write.parquet(f"{self.path}/manifest/v{version}")
-        return after
-
-
-def _filled(spark: SparkSession, folder: str) -> bool:
-    """Whether a partitioned write left any partition."""
+        return self._read(self.COUNTS, *(f for b, f in self.parts.items() if buckets is None or b in buckets))
+
+    def _signed(self, field: str, now: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """sign, text of what differs from the store; and the field's index from now on."""
+        digest = (F.xxhash64("text").alias("digest_a"), F.xxhash64(F.lit(1), "text").alias("digest_b"))
+        fresh = now.select("key", *digest)
+        plus = F.lit(1).alias("sign")
+        if self.index_folder is None:
+            now.select(F.lit(field).alias("field"), "key", "text").write.parquet(f"{self.path}/texts/{name}")
+            written = self._read(self.TEXTS, f"{self.path}/texts/{name}")
+            return written.select(plus, "text"), written.select(F.lit(field).alias("field"), "key", *digest, F.lit(name).alias("part"))
+        known = self._read(self.INDEX, self.index_folder).filter(F.col("field") == field).drop("field")
+        both = fresh.join(known.select("key", F.col("digest_a").alias("_a"), F.col("digest_b").alias("_b"), "part"), "key", "full")
+        same = F.col("part").isNotNull() & F.col("digest_a").isNotNull() & (F.col("digest_a") == F.col("_a")) & (F.col("digest_b") == F.col("_b"))
+        both = materialize(both.withColumn("same", same), "digests")
+        came = both.filter("not same and digest_a is not null").select("key")
+        now.join(came, "key", "left_semi").select(F.lit(field).alias("field"), "key", "text").write.parquet(f"{self.path}/texts/{name}")
+        signed = self._read(self.TEXTS, f"{self.path}/texts/{name}").select(plus, "text")
+        gone = both.filter("not same and part is not null").select("key", "part")
+        folders = [f"{self.path}/texts/{r[0]}" for r in gone.select("part").distinct().collect()]  # a row a version at most
+        if folders:
+            old = self._read(self.TEXTS, *folders).filter(F.col("field") == field).withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -2))
+            signed = signed.unionByName(old.join(gone, ["key", "part"], "left_semi").select(F.lit(-1).alias("sign"), "text"))
+        index = both.filter("digest_a is not null").select(F.lit(field).alias("field"), "key", "digest_a", "digest_b", F.when(F.col("same"), F.col("part")).otherwise(name).alias("part"))
+        return signed, index
+
+    def update(self, records: dict[str, tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]]) -> TermStore:
+        """field -> (key bigint, text: all its records as they are now, each once; how to count signed texts).
+        The store as of a new version; the old one stays whole until its files are removed. Fields that aren't named
+        stay as they are."""
+        name = f"{self.version + 1}-{uuid.uuid4().hex}"
+        deltas = index = None
+        for field, (now, count) in records.items():
+            signed, mine = self._signed(field, now, f"{name}-{len(deltas.columns) if deltas is not None else 0}-{field}")
+            part = count(signed, field)
+            deltas, index = (part, mine) if deltas is None else (deltas.unionByName(part), index.unionByName(mine))
+        if self.index_folder is not None:
+            index = index.unionByName(self._read(self.INDEX, self.index_folder).filter(~F.col("field").isin(*records)))
+        index.write.parquet(f"{self.path}/index/{name}")
+        sums = (F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        deltas = materialize(deltas.groupBy("field", "term").agg(*sums).filter("occurrences <> 0 or records <> 0"), "term-deltas")
+        return self._merge(deltas, name)
+
+    def _merge(self, deltas: DataFrame, name: str) -> TermStore:
+        """Only buckets that a delta touches are read and written again; terms whose counts come to nothing leave."""
+        terms = deltas.count() + (self.read().count() if self.parts else 0)
+        buckets = self.buckets
+        while terms > buckets * BUCKET_TERMS:
+            buckets *= 2
+        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int").alias("bucket")
+        touched = sorted(self.parts) if buckets != self.buckets else sorted(r[0] for r in deltas.select(bucket).distinct().collect())  # a row a bucket
+        rows = self.read([b for b in touched if b in self.parts]).unionByName(deltas) if self.parts else deltas
+        sums = rows.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).filter("occurrences <> 0 or records <> 0")
+        folder = f"{self.path}/counts/{name}"
+        sums.withColumn("bucket", bucket).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(folder)
+        kept = {} if buckets != self.buckets else {b: f for b, f in self.parts.items() if b not in touched}
+        parts = kept | {int(b.split("=")[1]): f"{folder}/{b}" for b in _folders(self.spark, folder) if b.startswith("bucket=")}
+        manifest = [(b, parts.get(b), buckets, f"{self.path}/index/{name}") for b in range(buckets)]
+        self.spark.createDataFrame(manifest, "bucket int, folder string, buckets int, index_folder string").coalesce(1).write.parquet(f"{self.path}/manifest/v{self.version + 1}")
+        return TermStore(self.spark, self.path)
+
+
+def _folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder whose writing was finished (a manifest without its mark doesn't count)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return any(s.isDirectory() for s in fs.listStatus(path))
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    done = lambda p: p.getName().startswith("bucket=") or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return [p.getName() for p in names if done(p)]
 
 
 def marked_terms(counts: DataFrame, common_share: dict[str, float], rare_records: int = 1) -> DataFrame:
