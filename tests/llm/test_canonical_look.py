@@ -43,3 +43,21 @@ def test_every_character_and_its_canonical_forms():
     con.register("texts", again)
     assert all({look} == forms[item] for item, look in con.execute(look_sql()).fetchall())
     assert all(b not in look_map() for b in look_map().values())
+
+
+def test_kana_in_words_stay():
+    """A kana that looks like an ideograph is one only where it stands alone among other characters."""
+    words = ["エンジン", "カタログ", "東京タワー", "ロボット", "ニュース", "データ"]
+    assert looks(words) == words
+    for a, b in (("理エ科", "理工科"), ("人ロ", "人口"), ("カ学", "力学"), ("エ、カ。", "工、力。"), ("中エ大カ小", "中工大力小"), ("人ﾛ", "人口")):
+        x, y = looks([a, b])
+        assert x == y == b, (a, x, y)
+
+
+def test_letters_that_look_alike():
+    for a, b in (("𝐀𝑏𝖈", "Abc"), ("ɡo", "go"), ("ıӏ", "il"), ("օ", "o"), ("ᎪᏴ", "AB"), ("ꓐꓳꓫ", "BOX"), ("МОСКВА"[:2], "MO")):
+        x, y = looks([a, b])
+        assert x == y, (a, b, x, y)
+    for a, b in (("𝟏", "1"), ("к", "k"), ("m²", "m2")):
+        x, y = looks([a, b])
+        assert x != y, (a, b)

@@ -16,7 +16,7 @@ from .leakage import bare_map, leaked_items
 from .name_variants import linked_names, variant_pairs
 from .packing import CAPACITY, byte_sized, pack_items, windows
 from .repetition import BLANKS, ENDS, GRAM, LIMIT, LINE_SHARE, SEPARATORS, SHORT, clean_lines
-from .same_look import same_look_pairs
+from .same_look import look_sql, same_look_pairs
 from .shared_spans import shared_spans
 from .splitting import split_items
 from .term_counts import TermStore, latest_texts, marked_terms, pair_deltas, value_deltas
@@ -237,6 +237,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"{_P1} SELECT DISTINCT rec_kind, rec_id FROM f",
         "p3_found": f"{_P3} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_counts": f"{_P3} SELECT * FROM m",
+        "p5_found": f"""WITH names AS (SELECT DISTINCT name FROM (SELECT unnest(entities) AS name FROM checklist_result UNION ALL SELECT unnest(regexp_extract_all(text, '【供稿：([^】]*)】', 1)) FROM chunks) WHERE name <> ''),
+          texts AS (SELECT DISTINCT 'chunk_text' AS field, CAST(chunk_id AS VARCHAR) AS item, text FROM chunks WHERE text IS NOT NULL UNION SELECT 'claim_text', CAST(claim_id AS VARCHAR), claim_text FROM checklist_result WHERE claim_text IS NOT NULL UNION ALL SELECT 'name', name, name FROM names),
+          looks AS MATERIALIZED ({look_sql(keep="field, item, text")})
+          SELECT DISTINCT a.field, a.item AS key_a, b.item AS key_b FROM looks a JOIN looks b ON a.field = b.field AND a.look = b.look AND a.item < b.item AND a.text <> b.text""",
         "p6_totals": f"WITH {_P6} SELECT doc_id, tokens, tokens > {CAPACITY} AS divided, true AS within FROM s WHERE tokens > 0",
         "p6_space": f"WITH {_P6} SELECT CAST(sum(tokens) AS BIGINT) AS tokens, true AS little_left FROM s",
         "p7_found": f"{_P7} SELECT doc_id, item_id FROM l",

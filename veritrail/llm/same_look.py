@@ -3,10 +3,11 @@
 Steps of the SQL, in this order: invisible characters and variation selectors go; half-width kana become
 wide; combining marks are composed (nfc_normalize, which also maps CJK compatibility ideographs), so that
 canonical equivalents are one before anything is translated; characters are translated to the one that
-they look like; what the translation left to compose is composed. Every text is composed, so that a
-character's form doesn't depend on the rest of the text. Translation covers width forms, kinds of space, radicals, and look-alike
-letters, kana and ideographs. What looks different stays different: raised figures, missing accents,
-letter case, other digits and words.
+they look like; a kana that looks like an ideograph becomes one where no other kana stands beside it, so that
+Japanese words stay; what the translation left to compose is composed. Every text is composed, so that a
+character's form doesn't depend on the rest of the text. Translation covers width forms, kinds of space, radicals, letters of
+the mathematical alphabets, and look-alike letters and ideographs. What looks different stays different: raised figures,
+missing accents, letter case, other digits and words.
 
 The tables follow from the Unicode database where it has the mapping; only look-alikes that it doesn't
 map are listed. Long tables are applied only to rows that a regular expression finds to need them.
@@ -23,18 +24,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Pairs of a character and the character that it looks like.
 LOOKALIKES = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa ιi νv οo ρp υu ϳj "  # Greek
     "АA ВB ЕE ЗЗ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj ЅS ІI ЈJ ԁd ԛq ԝw һh "  # Cyrillic
     "ЇÏ їï Ёë ёë ӧö ӓä ӒÄ ӦÖ Ӧö "
-    "エ工 カ力 ニ二 ハ八 ロ口 タ夕 ト卜 オ才 ヘへ 〇○ "  # kana beside ideographs
+    "ɡg ɑa ıi ȷj օo սu ӏl Ӏl ǀl ꓲI ꓳO ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓴU "  # Latin, Armenian, palochka, Lisu
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ "  # Cherokee
+    "ヘへ 〇○ "  # kana and marks
     "內内 靑青 敎教 淸清 眞真 戶户 呂吕 別别 吿告 說説 爲為 卽即 黃黄 產産 絕絶 值値 强強 吳呉 册冊 没沒 "  # ideographs
     "⺁厂 ⺃乚 ⺄乙 ⺅亻 ⺆冂 ⺈刀 ⺉刂 ⺊卜 ⺋㔾 ⺎兀 ⺏尣 ⺐尢 ⺒巳 ⺓幺 ⺔彑 ⺕彐 ⺖忄 ⺗㣺 ⺘扌 ⺙攵 ⺛旡 ⺜日 ⺝月 ⺞歺 ⺠民 ⺡氵 ⺢氺 ⺣灬 ⺤爫 ⺥爫 ⺦丬 ⺧牛 ⺨犭 ⺩王 ⺪疋 "
     "⺫罒 ⺬示 ⺭礻 ⺮竹 ⺯糸 ⺰纟 ⺱罓 ⺲罒 ⺴罓 ⺶羊 ⺷羊 ⺸羊 ⺹耂 ⺺肀 ⺻聿 ⺼肉 ⺽臼 ⺾艹 ⺿艹 ⻀艹 ⻁虎 ⻂衤 ⻃覀 ⻄西 ⻅见 ⻆角 ⻇角 ⻈讠 ⻉贝 ⻊足 ⻋车 ⻌辶 ⻍辶 ⻎辶 ⻏阝 ⻐钅 ⻑長 ⻒镸 ⻓长 ⻔门 "
     "⻕阜 ⻖阝 ⻗雨 ⻘青 ⻙韦 ⻚页 ⻛风 ⻜飞 ⻝食 ⻟食 ⻠饣 ⻢马 ⻣骨 ⻤鬼 ⻥鱼 ⻦鸟 ⻧卤 ⻨麦 ⻩黄 ⻪黾 ⻫斉 ⻬齐 ⻭歯 ⻮齿 ⻯竜 ⻰龙 ⻱龜 ⻲亀 ⻳龟 "  # radicals without a mapping of their own
     "・· ‧· ∙· •· ‐- ‑- ⁃- ˗- ∶: ꞉: ։: ∕/ ⁄/ ⟨〈 ⟩〉 〈〈 〉〉 "  # marks
 )
+# Kana that look like ideographs.
+KANA = {"エ": "工", "カ": "力", "ニ": "二", "ハ": "八", "ロ": "口", "タ": "夕", "ト": "卜", "オ": "才"}
 # Ranges of characters that have no look of their own.
 INVISIBLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE01EF))
 # Spaces other than U+0020; the blocks whose compatibility mappings keep the look.
@@ -51,6 +58,10 @@ def look_map() -> dict[str, str]:
             out = unicodedata.normalize("NFKC", chr(code))
             if len(out) == 1 and out != chr(code):
                 first[chr(code)] = out
+    for code in range(0x1D400, 0x1D7CC):  # mathematical alphabets, less their digits
+        out = unicodedata.normalize("NFKC", chr(code))
+        if len(out) == 1 and out != chr(code):
+            first[chr(code)] = out
     first |= {a: b for a, b in LOOKALIKES.split() if a != b}
     resolved = {}
     for c, out in first.items():
@@ -99,12 +110,17 @@ def look_sql(column: str = "text", source: str = "texts", keep: str = "item") ->
         spelled = f"replace({spelled}, {_quoted(c)}, {_quoted(out)})"
     kana = "".join(map(chr, range(0xFF66, 0xFFA0)))
     wide = f"CASE WHEN regexp_matches(v, '[\\x{{FF66}}-\\x{{FF9F}}]') THEN translate(v, {_quoted(kana)}, {_quoted(unicodedata.normalize('NFKD', kana))}) ELSE v END"
+    other, alone = "[^\\x{3041}-\\x{30FF}]", "s2"
+    for c, out in KANA.items():  # twice, for neighbours share the character between them
+        for _ in range(2):
+            alone = f"regexp_replace({alone}, '(^|{other}){c}($|{other})', '\\1{out}\\2', 'g')"
     return f"""
       WITH v AS (SELECT {keep}, {visible} AS v FROM {source}),
       s0 AS (SELECT {keep}, nfc_normalize({wide}) AS s0 FROM v),
       s1 AS (SELECT {keep}, CASE WHEN regexp_matches(s0, '{_class(_ranges(rest))}') THEN translate(s0, {table(rest)}) ELSE s0 END AS s1 FROM s0),
-      s2 AS (SELECT {keep}, translate(CASE WHEN regexp_matches(s1, '[\\x{{FB00}}-\\x{{FB06}}]') THEN {spelled} ELSE s1 END, {table(often)}) AS s2 FROM s1)
-      SELECT {keep}, nfc_normalize(s2) AS look FROM s2"""
+      s2 AS (SELECT {keep}, translate(CASE WHEN regexp_matches(s1, '[\\x{{FB00}}-\\x{{FB06}}]') THEN {spelled} ELSE s1 END, {table(often)}) AS s2 FROM s1),
+      s3 AS (SELECT {keep}, CASE WHEN regexp_matches(s2, '[{''.join(KANA)}]') THEN {alone} ELSE s2 END AS s3 FROM s2)
+      SELECT {keep}, nfc_normalize(s3) AS look FROM s3"""
 
 
 def _same_look() -> object:
@@ -114,7 +130,7 @@ def _same_look() -> object:
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         for batch in batches:
             con.register("texts", pa.Table.from_batches([batch]))
-            yield from con.execute(look_sql()).to_arrow_table().cast(schema).to_batches()
+            yield from con.sql(look_sql()).to_arrow_table().cast(schema).to_batches()
             con.unregister("texts")
         con.close()
 
@@ -135,7 +151,7 @@ def _hashed_look() -> object:
         sql = look_sql(keep="field, item, text")
         for batch in batches:
             con.register("texts", pa.Table.from_batches([batch]))
-            yield from con.execute(sql).to_arrow_table().select(["field", "item", "text", "look"]).cast(schema).to_batches()
+            yield from con.sql(sql).to_arrow_table().select(["field", "item", "text", "look"]).cast(schema).to_batches()
             con.unregister("texts")
         con.close()
 
@@ -159,7 +175,7 @@ def same_look_pairs(items: DataFrame) -> DataFrame:
 
     First the forms that occur in one stored spelling only are dropped, by least and greatest digest,
     pre-aggregated: most forms, and copies in any number. What is left are the asked-for pairs."""
-    keys = look_keys(items)
+    keys = materialize(look_keys(items), "looks")
     several = keys.groupBy("field", "look_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low <> high").select("field", "look_key")
     keys = keys.join(several, ["field", "look_key"]).distinct()
     a = keys.select("field", "look_key", F.col("item").alias("key_a"), F.col("text_key").alias("text_a"))
