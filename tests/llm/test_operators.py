@@ -42,7 +42,7 @@ def spans_by_force(rows, span):
     return out
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
+@pytest.mark.parametrize("limit", [100_000, 1])
 def test_shared_spans(spark, limit):
     rng = random.Random(limit)
     passages = [some_text(rng, n) for n in (50, 51, 75, 200)]
@@ -54,6 +54,21 @@ def test_shared_spans(spark, limit):
     assert shared_spans(df.limit(0)).count() == 0
 
 
+def test_deep_nodes_by_force():
+    from veritrail.llm.shared_spans import deep_nodes
+
+    rng = random.Random(15)
+    for _ in range(40):
+        rows = [(rng.randrange(4), rng.randrange(1, 4), some_text(rng, rng.randint(5, 12), "甲乙\U0001F600")) for _ in range(rng.randint(1, 30))]
+        windows = defaultdict(set)
+        for g, o, t in rows:
+            for i in range(len(t) - 4):
+                windows[g, t[i : i + 5]].add(o)
+        group, origin = (np.array([r[k] for r in rows]) for k in (0, 1))
+        text, place = deep_nodes(group, origin, origin, [r[2] for r in rows], 5)
+        assert set(zip(text.tolist(), place.tolist())) == {(n, i) for n, (g, _, t) in enumerate(rows) for i in range(len(t) - 4) if len(windows[g, t[i : i + 5]]) > 1}
+
+
 def test_shared_spans_cross_slices(spark, monkeypatch):
     """A text longer than a slice keeps the spans that lie across the cut."""
     from veritrail.llm.shared_spans import _stretches

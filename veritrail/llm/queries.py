@@ -104,6 +104,19 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.join(places, "item_id").select(F.col("item_id").alias("chunk_id"), "source_path", "piece_no", (F.col("chunk_offset") + F.col("start")).alias("chunk_offset"), F.col("piece").alias("text"), "cut")
 
 
+def p4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any pieces: each begins with the overlap, none is too long, and without the overlaps they spell the
+    chunk again."""
+    pieces = p4_pieces(spark, sf_dir).withColumn("_end", F.col("chunk_offset") + F.length("text"))
+    before = F.lag("_end").over(W.partitionBy("chunk_id").orderBy("piece_no"))
+    pieces = pieces.withColumn("_new", F.when(F.col("piece_no") == 0, F.length("text")).otherwise(F.col("_end") - before)).withColumn("_over", F.length("text") - F.col("_new"))
+    own = F.expr("right(text, _new)")
+    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))), lambda s: s["own"]))
+    full = F.when(F.col("piece_no") > 0, F.col("_over") == F.least(F.lit(150), before - F.min("chunk_offset").over(W.partitionBy("chunk_id")))).otherwise(True)
+    pieces = pieces.withColumn("_full", full)
+    return pieces.groupBy("chunk_id").agg(F.md5(whole).alias("text_md5"), (F.max(F.length("text")) <= 600).alias("within"), F.every("_full").alias("overlaps"))
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, n: the distinct strings in entities and bylines, and how often they stand there."""
     typed = table(spark, sf_dir, "checklist_result").select(F.explode("entities").alias("name"))
@@ -184,7 +197,7 @@ def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_entities, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p6_packed, p6_totals, p6_space, p6_windows, p7_found, p7_leaks, p8_found, p8_lines)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_entities, p3_found, p3_counts, p4_found, p4_pieces, p4_rebuilt, p5_found, p6_packed, p6_totals, p6_space, p6_windows, p7_found, p7_leaks, p8_found, p8_lines)}
 
 
 _P1 = """
@@ -207,6 +220,12 @@ _P8 = """
 
 
 _P6 = "s AS (SELECT doc_id, CAST(max(coalesce(n_tokens, strlen(text) + 1)) AS BIGINT) AS tokens FROM documents GROUP BY doc_id)"
+# behind what a boundary ends with, and in front of what doesn't continue it
+_P4 = """c AS (SELECT DISTINCT chunk_id, text, length(text) AS n FROM chunks WHERE length(text) > 600), q AS (SELECT chunk_id, text, n, unnest(range(1, n)) AS p FROM c),
+  e AS (SELECT chunk_id, p, left(text, p) AS front, substr(text, p + 1, 1) AS next FROM q WHERE contains('。！？…' || chr(10) || chr(13) || chr(9) || ' ', substr(text, p, 1))),
+  b AS (SELECT chunk_id, p FROM e WHERE (right(front, 2) = chr(10) || chr(10) AND next <> chr(10))
+    OR (regexp_matches(front, '[。！？…][\\n\\r]*$') AND next <> chr(10) AND next <> chr(13) AND NOT (contains('。！？…', next) AND contains('。！？…', right(front, 1))))
+    OR (regexp_matches(front, '[.!?][ \\t\\n\\r]+$') AND NOT contains(' ' || chr(9) || chr(10) || chr(13), next)) UNION SELECT chunk_id, n FROM c)"""
 _P7_MAP = bare_map()
 _P7 = f"""
   WITH t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION SELECT 'i', item_id, claim_text FROM gold_annotations WHERE claim_text IS NOT NULL),
@@ -235,8 +254,14 @@ def oracle_sql() -> dict[str, str]:
     are no SQL of the oracle's; their tests hold them against brute force."""
     return {
         "p1_found": f"{_P1} SELECT DISTINCT rec_kind, rec_id FROM f",
+        "p1_shares": f"""{_P1}, u AS (SELECT DISTINCT rec_kind, rec_id, n, i FROM f), v AS (SELECT *, CASE WHEN i <= lag(i) OVER x + 50 THEN 0 ELSE 1 END AS fresh FROM u WINDOW x AS (PARTITION BY rec_kind, rec_id ORDER BY i)),
+          y AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_kind, rec_id ORDER BY i) AS island FROM v), z AS (SELECT rec_kind, rec_id, n, island, min(i) - 1 AS a, max(i) + 49 AS b FROM y GROUP BY ALL)
+          SELECT rec_kind, rec_id, CAST(n AS INTEGER) AS n_chars, CAST(sum(b - a) AS BIGINT) AS shared_chars, round(sum(b - a) / n, 6) AS shared_share, string_agg(a || '-' || b, ' ' ORDER BY a) AS spans FROM z GROUP BY rec_kind, rec_id, n""",
         "p3_found": f"{_P3} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_counts": f"{_P3} SELECT * FROM m",
+        "p4_found": f"""WITH RECURSIVE {_P4}, reach AS (SELECT chunk_id, CAST(0 AS BIGINT) AS p FROM c UNION SELECT b.chunk_id, b.p FROM reach r JOIN b ON b.chunk_id = r.chunk_id AND b.p > r.p AND b.p - greatest(r.p - 150, 0) <= 600)
+          SELECT chunk_id FROM c WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.chunk_id = c.chunk_id AND reach.p = c.n)""",
+        "p4_rebuilt": f"WITH {_P4} SELECT chunk_id, md5(text) AS text_md5, true AS within, true AS overlaps FROM c",
         "p5_found": f"""WITH names AS (SELECT DISTINCT name FROM (SELECT unnest(entities) AS name FROM checklist_result UNION ALL SELECT unnest(regexp_extract_all(text, '【供稿：([^】]*)】', 1)) FROM chunks) WHERE name <> ''),
           texts AS (SELECT DISTINCT 'chunk_text' AS field, CAST(chunk_id AS VARCHAR) AS item, text FROM chunks WHERE text IS NOT NULL UNION SELECT 'claim_text', CAST(claim_id AS VARCHAR), claim_text FROM checklist_result WHERE claim_text IS NOT NULL UNION ALL SELECT 'name', name, name FROM names),
           looks AS MATERIALIZED ({look_sql(keep="field, item, text")})

@@ -6,15 +6,15 @@ part of it is built that can have internal nodes of depth `span` with leaves of
 1. Each window of `span` characters is assigned to the position in it whose `prefix`-gram hashes
    smallest (leftmost on ties). That depends on the window's content alone, so equal windows anywhere
    have equal anchors at equal offsets, and the windows of one anchor in a row are one stretch of text.
-2. The anchor's gram is the prefix by which suffixes are split into groups. A prefix seen in one
-   origin only can't lead to a shared node; its suffixes go no further (two long columns are shuffled,
-   pre-aggregated to the least and the greatest origin, no text).
-3. The stretches at the remaining prefixes, equal ones merged with least and greatest origin, come
-   together by prefix; in each group the suffixes that begin at windows are put in order and the runs
-   with common prefix of at least `span` characters, the deep internal nodes, are read off.
-4. A prefix with more distinct stretches than `group_limit` is lengthened to `span` characters: its
-   suffixes are split by their first `span` characters and each such group is one node, found by a
-   pre-aggregated groupBy. So no group is collected beyond the limit and none is cut.
+2. The anchor's gram is the first prefix by which suffixes are split into groups. A prefix seen in one
+   origin only can't lead to a shared node (two long columns are shuffled, pre-aggregated to the least and the greatest
+   origin, no text). A second scan gives out the stretches at the other prefixes, through a filter of bounded size.
+3. Equal stretches are merged with least and greatest origin and come together by prefix. The prefix of a group with more
+   suffixes than `group_limit`, that is than a task should hold in memory, is lengthened to `span` characters: its suffixes are
+   split by their first `span` characters, and each such group is one node, found by a pre-aggregated groupBy. Lengths between
+   the two would split the same suffixes once more and end at the same nodes.
+4. In a group, the suffixes that begin at windows are sorted, and the lengths of the common prefixes of neighbours
+   give the subtree's internal nodes; those of depth `span` with leaves of two origins are the shared windows.
 5. Neighbouring and overlapping shared windows of a record are joined to its maximal shared spans.
 """
 
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.membership import membership
 from ..session import materialize
 from .codes import code_points, gram_hashes, slices, window_minimum
 
 SPAN = 50
 PREFIX = 16
-GROUP_LIMIT = 4096
+GROUP_LIMIT = 100_000
 _AT_BITS = 25
 
 
@@ -77,68 +78,71 @@ def _prefix_origins(span: int, prefix: int):
     return run
 
 
-def _prefix_places(span: int, prefix: int):
-    schema = pa.schema([("prefix", pa.int64()), ("record", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())])
+def _shared_stretches(known, span: int, prefix: int):
+    schema = pa.schema([("prefix", pa.int64()), ("record", pa.int64()), ("origin", pa.int64()), ("n_chars", pa.int32()), ("start", pa.int64()), ("stretch", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            records = batch.column("record").to_numpy()
-            for number, start, count, key in _stretches(batch.column("text").to_pylist(), span, prefix):
-                yield pa.record_batch([pa.array(key), pa.array(records[number]), pa.array(start), pa.array(count.astype(np.int32))], schema=schema)
+            records, origins, texts = batch.column("record").to_numpy(), batch.column("origin").to_numpy(), batch.column("text").to_pylist()
+            for number, start, count, key in _stretches(texts, span, prefix):
+                hit = known.value(key)
+                number, start, count = number[hit], start[hit], count[hit]
+                cut = [texts[n][a : a + w] for n, a, w in zip(number.tolist(), start.tolist(), (count + span - 1).tolist())]
+                sizes = [len(texts[n]) for n in number.tolist()]
+                yield pa.record_batch([pa.array(key[hit]), pa.array(records[number]), pa.array(origins[number]), pa.array(sizes, pa.int32()), pa.array(start), pa.array(cut, pa.string())], schema=schema)
 
     return run
 
 
-def deep_nodes(stretches: list[tuple[str, int, int]], span: int) -> list[int]:
-    """For each distinct stretch (text, least origin, greatest origin) of one group, the bits of its
-    suffixes that lie below an internal node of depth `span` or more with leaves of two origins.
-
-    The suffixes are sorted; a run whose neighbours have at least `span` characters in common is the
-    leaf set of such a node."""
-    marks = [0] * len(stretches)
-    suffixes = sorted((text[i : i + span], n, i) for n, (text, _, _) in enumerate(stretches) for i in range(len(text) - span + 1))
-    run: list[tuple[int, int]] = []
-    head, low, high = None, 0, 0
-    for text, n, i in suffixes:
-        if text != head:
-            if low < high:
-                for m, j in run:
-                    marks[m] |= 1 << j
-            run, head, low, high = [], text, stretches[n][1], stretches[n][2]
-        run.append((n, i))
-        low, high = min(low, stretches[n][1]), max(high, stretches[n][2])
-    if low < high:
-        for m, j in run:
-            marks[m] |= 1 << j
-    return marks
-
-
-def _trees(span: int):
+def deep_nodes(group: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """texts of some groups in a row, with their group's number and least and greatest origin: for each suffix that begins
+    at a window (number of its text, place in it) whether it lies below an internal node of depth `span` with leaves of
+    two origins. Returned as the text's number and place of those that do."""
+    codes, lengths = code_points(texts)
+    of = np.repeat(np.arange(len(texts)), lengths - span + 1)
+    place = np.arange(of.size) - np.repeat(np.cumsum(lengths - span + 1) - (lengths - span + 1), lengths - span + 1)
+    first = np.cumsum(lengths) - lengths
+    # suffixes, as far as a node's depth matters, behind their group's number; big-endian, so that bytes sort as characters
+    rows = np.empty((of.size, span + 1), ">u4")
+    rows[:, 0] = group[of]
+    rows[:, 1:] = np.lib.stride_tricks.sliding_window_view(codes, span)[first[of] + place]
+    order = np.argsort(rows.view(f"V{4 * (span + 1)}").ravel(), kind="stable")
+    rows = rows[order]
+    differs = rows[1:] != rows[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1) - 1, span)  # of neighbours; -1 in different groups
+    node = np.cumsum(np.r_[0, common < span]) if of.size else of
+    begins = np.flatnonzero(np.r_[True, common < span]) if of.size else of
+    least, most = np.minimum.reduceat(low[of[order]], begins), np.maximum.reduceat(high[of[order]], begins)
+    inside = order[(least < most)[node]]
+    return of[inside], place[inside]
+
+
+def _trees(span: int, most: int = 1 << 16):
     schema = pa.schema([("stretch", pa.string()), ("marks", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, int, int]] = []
-        prefix = None
-
-        def close() -> pa.RecordBatch | None:
-            found = [(s[0], m) for s, m in zip(held, deep_nodes(held, span)) if m]
-            return pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([m for _, m in found], pa.int64())], schema=schema) if found else None
+    def close(held: list[tuple[object, str, int, int]]) -> pa.RecordBatch:
+        keys: dict[object, int] = {}
+        group = np.fromiter((keys.setdefault(h[0], len(keys)) for h in held), np.int64, len(held))
+        low, high = (np.fromiter((h[k] for h in held), np.int64, len(held)) for k in (2, 3))
+        text, place = deep_nodes(group, low, high, [h[1] for h in held], span)
+        marks = np.zeros(len(held), np.int64)
+        np.bitwise_or.at(marks, text, np.int64(1) << place)
+        some = np.flatnonzero(marks)
+        return pa.record_batch([pa.array([held[n][1] for n in some], pa.string()), pa.array(marks[some])], schema=schema)
 
-        ready: list[pa.RecordBatch] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[object, str, int, int]] = []
+        suffixes, prefix = 0, None
         for batch in batches:
-            for p, text, low, high in zip(*(batch.column(c).to_pylist() for c in ("prefix", "stretch", "low", "high"))):
-                if p != prefix:
-                    if held and (out := close()) is not None:
-                        ready.append(out)
-                    held, prefix = [], p
-                held.append((text, low, high))
-            if len(ready) > 200:
-                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                ready = []
-        if held and (out := close()) is not None:
-            ready.append(out)
-        if ready:
-            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+            for row in zip(*(batch.column(c).to_pylist() for c in ("prefix", "stretch", "low", "high"))):
+                if row[0] != prefix and suffixes > most:
+                    yield close(held)
+                    held, suffixes = [], 0
+                prefix = row[0]
+                held.append(row)
+                suffixes += len(row[1]) - span + 1
+        if held:
+            yield close(held)
 
     return run
 
@@ -148,27 +152,24 @@ def _joined(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, totals = [], []
-            for places in batch.column("places").to_pylist():
-                spans: list[list[int]] = []
-                for start, marks in sorted((p["start"], p["marks"]) for p in places):
-                    for bit in range(marks.bit_length()):
-                        if marks >> bit & 1:
-                            a = start + bit
-                            if spans and a <= spans[-1][1]:
-                                spans[-1][1] = max(spans[-1][1], a + span)
-                            else:
-                                spans.append([a, a + span])
-                spans.sort()
-                joined: list[list[int]] = []
-                for a, b in spans:
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], b)
-                    else:
-                        joined.append([a, b])
-                out.append(joined)
-                totals.append(sum(b - a for a, b in joined))
-            yield pa.record_batch([batch.column("record"), batch.column("n_chars"), pa.array(out, schema.field("spans").type), pa.array(totals, pa.int64())], schema=schema)
+            lists = batch.column("places")
+            if not len(lists):
+                continue
+            flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+            record = np.repeat(np.arange(len(sizes)), sizes)
+            start, marks = flat.field("start").to_numpy(), flat.field("marks").to_numpy()
+            bits = np.arange(int(np.bitwise_or.reduce(marks)).bit_length())
+            row, bit = np.nonzero(marks[:, None] >> bits & 1)
+            at, record = start[row] + bits[bit], record[row]
+            order = np.lexsort((at, record))
+            at, record = at[order], record[order]
+            first = np.flatnonzero(np.r_[True, (record[1:] != record[:-1]) | (at[1:] > at[:-1] + span)])
+            spans = np.stack([at[first], at[np.r_[first[1:], at.size] - 1] + span], axis=1)
+            count = np.bincount(record[first], minlength=len(sizes))
+            total = np.bincount(record[first], weights=spans[:, 1] - spans[:, 0], minlength=len(sizes)).astype(np.int64)
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(spans) + 1, 2), pa.int32()), pa.array(spans.ravel()))
+            nested = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pairs)
+            yield pa.record_batch([batch.column("record"), batch.column("n_chars"), nested, pa.array(total)], schema=schema)
 
     return run
 
@@ -183,30 +184,26 @@ def shared_spans(records: DataFrame, span: int = SPAN, prefix: int = PREFIX, gro
     `span - prefix` is at most 61, for the marks of a stretch are the bits of a long."""
     if not 1 <= span - prefix <= 61:
         raise ValueError("span - prefix must lie between 1 and 61")
-    texts = records.select("record", F.xxhash64(F.coalesce("origin", F.lit("\0null"))).alias("origin"), "text").filter(F.length("text") >= span)
+    texts = records.select(F.col("record").cast("bigint"), F.xxhash64(F.coalesce("origin", F.lit("\0null"))).alias("origin"), "text").filter(F.length("text") >= span)
     shared = (
         texts.select("origin", "text")
         .mapInArrow(_prefix_origins(span, prefix), "prefix bigint, low bigint, high bigint")
         .groupBy("prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .filter("low < high").select("prefix")
     )
-    places = texts.select("record", "text").mapInArrow(_prefix_places(span, prefix), "prefix bigint, record bigint, start bigint, windows int").join(shared, "prefix")
-    stretches = materialize(
-        places.join(texts, "record").select(
-            "prefix", "record", "origin", "start", F.length("text").alias("n_chars"),
-            F.expr(f"substring(text, cast(start + 1 as int), windows + {span - 1})").alias("stretch"),
-        ),
-        "stretches",
-    )
-    distinct = stretches.groupBy("prefix", "stretch").agg(F.min("origin").alias("low"), F.max("origin").alias("high"))
-    oversize = distinct.groupBy("prefix").count().filter(F.col("count") > group_limit).select("prefix", F.lit(True).alias("oversize"))
-    sized = distinct.join(oversize, "prefix", "left")
+    shared = materialize(shared, "prefixes")
+    known = membership(shared, "prefix", shared.count())
+    columns = "prefix bigint, record bigint, origin bigint, n_chars int, start bigint, stretch string"
+    stretches = materialize(texts.mapInArrow(_shared_stretches(known, span, prefix), columns), "stretches")
+    groups = materialize(stretches.groupBy("prefix", "stretch").agg(F.min("origin").alias("low"), F.max("origin").alias("high")), "groups")
+    large = groups.groupBy("prefix").agg(F.sum(F.length("stretch") - (span - 1)).alias("_n")).filter(F.col("_n") > group_limit).select("prefix", F.lit(True).alias("_large"))
+    sized = groups.join(large, "prefix", "left")
     trees = (
-        sized.filter("oversize is null").select("prefix", "stretch", "low", "high")
+        sized.filter("_large is null").select("prefix", "stretch", "low", "high")
         .repartition("prefix").sortWithinPartitions("prefix")
         .mapInArrow(_trees(span), "stretch string, marks bigint")
     )
-    suffixes = sized.filter("oversize").select(
+    suffixes = sized.filter("_large").select(
         "stretch", "low", "high", F.posexplode(F.expr(f"transform(sequence(1, length(stretch) - {span - 1}), i -> substring(stretch, i, {span}))")).alias("at", "suffix")
     )
     nodes = suffixes.groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("suffix")
