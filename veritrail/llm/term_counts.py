@@ -35,7 +35,8 @@ def latest_texts(deliveries: DataFrame, key: str, text: str, order: str) -> Data
 
     Records delivered once, nearly all, aren't shuffled: the keys of the others are found without texts."""
     rows = deliveries.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(order).alias("_at"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    # written, so that its size is known before anything with texts is joined with it
+    several = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"), "repeated")
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc_nulls_last("_at"), F.desc_nulls_last("text")))
     again = rows.join(several, "key", "left_semi").withColumn("_rank", rank).filter("_rank = 1")
     return rows.join(several, "key", "left_anti").select("key", "text").unionByName(again.select("key", "text"))
@@ -132,10 +133,10 @@ class TermStore:
         both = fresh.join(known.select("key", F.col("digest_a").alias("_a"), F.col("digest_b").alias("_b"), "part"), "key", "full")
         same = F.col("part").isNotNull() & F.col("digest_a").isNotNull() & (F.col("digest_a") == F.col("_a")) & (F.col("digest_b") == F.col("_b"))
         both = materialize(both.withColumn("same", same), "digests")
-        came = both.filter("not same and digest_a is not null").select("key")
+        came = materialize(both.filter("not same and digest_a is not null").select("key"), "came")
         now.join(came, "key", "left_semi").select(F.lit(field).alias("field"), "key", "text").write.parquet(f"{self.path}/texts/{name}")
         signed = self._read(self.TEXTS, f"{self.path}/texts/{name}").select(plus, "text")
-        gone = both.filter("not same and part is not null").select("key", "part")
+        gone = materialize(both.filter("not same and part is not null").select("key", "part"), "gone")
         folders = [f"{self.path}/texts/{r[0]}" for r in gone.select("part").distinct().collect()]  # a row a version at most
         if folders:
             old = self._read(self.TEXTS, *folders).filter(F.col("field") == field).withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -2))
