@@ -1,11 +1,14 @@
 """Extraction rules on literals."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from veritrail.functions import lexicon as L
 from veritrail.functions import text as T
 from veritrail.operators import claims as C
+from veritrail.operators import ordering
 
 
 def one(spark, expression, **values):
@@ -90,7 +93,21 @@ def test_prompt_texts(spark):
 def test_conflicts(spark):
     rows = [("p", 1, "某实验室获批国家重点项目", ["某实验室"]), ("p", 2, "某实验室主办学术论坛会议", ["某实验室"]), ("p", 3, "某实验室获批国家重点项目", ["某实验室"]), ("q", 4, "某实验室", ["某实验室"])]
     found = C.conflicts(spark.createDataFrame(rows, "target_path string, claim_id int, claim_text string, entities array<string>")).collect()
-    assert [(r["claim_a"], r["claim_b"], r["n_a"], r["n_b"]) for r in found] == [(1, 2, 2, 1)]
+    assert sorted((r["claim_id"], r["n"], r["n_conflicts"]) for r in found) == [(1, 2, 1), (2, 1, 2)]
+
+
+def test_conflicts_by_force(spark):
+    rng = random.Random(9)
+    words = ["获批项目甲", "主办论坛乙", "经费增长丙", "成果发布丁", "学科建设戊"]
+    rows = [("p", k, "，".join(["某实验室", *rng.sample(words, rng.randint(0, 4))]), ["某实验室"]) for k in range(60)]
+    df = spark.createDataFrame(rows, "target_path string, claim_id int, claim_text string, entities array<string>")
+    near = {k: frozenset(r["w"]) for k, r in zip(range(60), df.select(T.attribute_words(F.col("claim_text"), F.lit("某实验室")).alias("w")).collect())}
+    expected = {}
+    for k, w in near.items():
+        n = sum(1 for v in near.values() if v != w and len(w & v) / len(w | v) < 0.3)
+        if n and k == min(j for j, v in near.items() if v == w):
+            expected[k] = (sum(v == w for v in near.values()), n)
+    assert {r["claim_id"]: (r["n"], r["n_conflicts"]) for r in C.conflicts(df).collect()} == expected and len(expected) > 5
 
 
 def test_neighbours_and_batches(spark):
@@ -98,3 +115,20 @@ def test_neighbours_and_batches(spark):
     rows = C.neighbours(df).orderBy("pos").collect()
     assert (rows[0]["before"], rows[0]["after"], rows[7]["after"]) == ("", "c1", "")
     assert [(r["batch_no"], r["index"]) for r in C.batches(df, "claim_id", 6, "target_path").orderBy("claim_id").collect()][5:7] == [(0, 6), (1, 1)]
+
+
+def test_order_across_ranges(spark):
+    """Numbers and neighbours don't depend on where a key's rows are cut; nulls, ties and a null key included."""
+    rng = random.Random(10)
+    rows = [(rng.choice(["p", "p", "p", "q", None]), k, rng.choice([None, rng.randint(0, 50)]), rng.choice([None, f"c{k}"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "target_path string, claim_id int, pos int, claim_text string").withColumn("n", F.lit("clash")).drop("n")
+    expected = {}
+    for target in ("p", "q", None):
+        mine = sorted((r for r in rows if r[0] == target), key=lambda r: (-1 if r[2] is None else r[2], r[1]))
+        for i, r in enumerate(mine):
+            expected[r[1]] = (i + 1, mine[i - 1][3] or "" if i else "", mine[i + 1][3] or "" if i + 1 < len(mine) else "")
+    for width in (7, 10_000):
+        got = ordering.numbered(df, ["target_path"], ["pos", "claim_id"], width=width).select("claim_id", "n").collect()
+        assert {r["claim_id"]: r["n"] for r in got} == {k: v[0] for k, v in expected.items()}
+        near = ordering.neighbours(df, "target_path", ["pos", "claim_id"], "claim_text", width).collect()
+        assert {r["claim_id"]: (r["before"], r["after"]) for r in near} == {k: v[1:] for k, v in expected.items()}

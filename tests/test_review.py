@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from veritrail.functions import lexicon as L
-from veritrail.operators import adjudicate, evaluate, report
+from veritrail.operators import adjudicate, evaluate, model, report
 from veritrail.sources import files
 from veritrail.streaming import follow_chunks
 
@@ -39,11 +39,106 @@ def test_queue_and_verdicts(spark):
 
 
 def test_messages_and_client(spark):
-    messages = adjudicate.batch_messages(adjudicate.judge_queue(claims(spark)), 2)
+    messages = model.batch_messages(adjudicate.judge_queue(claims(spark)), 2)
     rows = messages.orderBy("batch_no").collect()
     assert [r["n"] for r in rows] == [2, 1] and "【声明 1】乙（子命题：a；b）" in rows[0]["message"] and "（无候选证据）" in rows[0]["message"]
-    answers = adjudicate.ask(messages, lambda texts: [None if "丁" in t else "[]" for t in texts])
+    assert [r["claim_ids"] for r in rows] == [[2, 3], [4]]
+    answers = model.ask(messages, lambda texts: [None if "丁" in t else "[]" for t in texts])
     assert [r["answer"] for r in answers.orderBy("batch_no").collect()] == ["[]", None]
+    counts = model.call_counts(answers).first()
+    assert (counts["n_calls"], counts["n_failed"]) == (2, 1) and counts["seconds"] >= 0
+
+
+CANDIDATES = "array<struct<source:string,text:string,score:double>>"
+
+
+def with_candidates(spark):
+    return claims(spark).withColumn("candidates", F.when(F.col("claim_id").isin(1, 3), F.array(*(F.struct(F.lit(f"来源{k}").alias("source"), F.lit("证" * 450).alias("text"), F.lit(1.0).alias("score")) for k in range(7)))).cast(CANDIDATES))
+
+
+def test_single_messages_and_evidence(spark):
+    df = with_candidates(spark)
+    got = {r["claim_id"]: r["message"] for r in model.single_messages(df).collect()}
+    assert set(got) == {1, 3} and got[1].startswith("【待核实声明】\n甲|一\n（声明中的数字：1项）\n（声明中的专名：甲）\n\n【参考证据片段】\n[1] 来源：来源0\n证")
+    assert got[1].count("来源：") == 5 and "证" * 400 in got[1] and "证" * 401 not in got[1] and "数字" not in got[3]
+    queue = {r["claim_id"]: r["evidence"] for r in adjudicate.judge_queue(df).collect()}
+    assert [e["source"] for e in queue[3]] == ["来源0", "来源1", "来源2"] and [e["source"] for e in queue[2]] == ["s"]
+
+
+def test_classify_and_prefilter_messages(spark):
+    df = claims(spark).withColumn("verifiable", F.lit(None).cast("boolean"))
+    assert model.classify_messages(adjudicate.classify_queue(df)).first()["message"] == "【1】丙"
+    fields = {r["message"] for r in model.classify_messages(df.filter("claim_id = 1"), fields=True).collect()}
+    assert fields == {"【1】甲|一\n  （数字：1项 / 实体：甲）"}
+    text = model.prefilter_messages(df).first()["message"]
+    assert text.startswith("【1】甲|一\n  后句：乙\n\n【2】乙\n  前句：甲|一\n  后句：丙\n")
+
+
+def test_judging(spark):
+    """A judge in batches: an answer by number, a number twice, one beyond the batch, a failed batch."""
+
+    def client(messages):
+        return [None if "丁" in m else json.dumps({"results": [{"index": 1, "verdict": "x"}, {"index": 1, "verdict": "needs_review", "reasoning": "不全", "verifiable": "yes"}, {"index": 2, "verdict": "not_found", "verifiable": "no"}, {"index": 9, "verdict": "confirmed"}]}) for m in messages]
+
+    got = {r["claim_id"]: r for r in model.judge(claims(spark), client, 2).collect()}
+    assert len(got) == 6
+    assert (got[2]["status"], got[2]["verifiable"], [w["code"] for w in got[2]["warnings"]][-1], got[2]["warnings"][-1]["detail"]) == (L.REVIEW, True, "LLM_NOTE", "不全")
+    assert (got[3]["status"], got[3]["verifiable"]) == (L.NOT_FOUND, False)
+    assert (got[4]["status"], got[4]["verifiable"], got[4]["warnings"]) == (L.REVIEW, None, []) and got[1]["status"] == L.CONFIRMED
+    assert model.judge(claims(spark), None).columns == claims(spark).columns
+
+
+def test_judging_each(spark):
+    def client(messages):
+        return ["```json\n" + json.dumps({"verdict": "inconsistent", "citation": "证", "reasoning": "冲突"}) + "\n```" if "甲" in m else "nothing" for m in messages]
+
+    got = {r["claim_id"]: r for r in model.judge_each(with_candidates(spark), client).collect()}
+    assert (got[1]["status"], got[1]["citation"]) == (L.INCONSISTENT, "证") and got[1]["warnings"][-1]["detail"] == "冲突"
+    assert got[3]["status"] == L.NOT_FOUND and got[2]["status"] == L.CONFIRMED
+
+
+def test_classifying_and_prefiltering(spark):
+    yes = lambda messages: [json.dumps({"results": [{"index": 1, "verifiable": "yes", "needs_check": False}]}) for _ in messages]
+    got = {r["claim_id"]: r["verifiable"] for r in model.classify(claims(spark), yes).collect()}
+    assert got == {1: None, 2: None, 3: True, 4: None, 5: None, 6: None}
+    assert {r["claim_id"] for r in model.prefilter(claims(spark), yes).collect()} == {2, 3, 4, 5, 6}
+    assert model.prefilter(claims(spark), lambda messages: [None for _ in messages]).count() == 6
+
+
+def test_settings_and_client(spark):
+    """The client against a server of the common protocol; no key, no client; a failed call is None."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers["Authorization"], body))
+            bad = body["messages"][1]["content"] == "bad"
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": '{"results": []}'}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    settings = model.Settings.of({"DEEPSEEK_API_KEY": "k", "FACTCHECK_LLM_MODEL": "m"}, base_url=f"http://127.0.0.1:{server.server_port}/", timeout=5.0)
+    assert model.chat_client(settings, model.CLASSIFY, 100)(["good", "bad"]) == ['{"results": []}', None]
+    path, key, body = seen[0]
+    assert (path, key, body["model"], body["max_tokens"], body["messages"][0]["content"]) == ("/chat/completions", "Bearer k", "m", 100, model.CLASSIFY)
+    server.shutdown()
+    assert model.chat_client(model.Settings.of({}), model.SINGLE) is None
+    assert model.Settings.of({"FACTCHECK_LLM_API_KEY": "a", "DEEPSEEK_API_KEY": "b"}).key == "a"
+
+
+def test_extraction_by_a_model(spark):
+    texts = spark.createDataFrame([(1, "学校获批国家项目3项。"), (2, "失败的文本")], "doc_id int, text string")
+    client = lambda messages: [None if "失败" in m else json.dumps({"claims": [{"表述内容": "学校获批国家项目3项", "类型": "定量"}]}, ensure_ascii=False) for m in messages]
+    assert [(r["doc_id"], r["claim_text"], r["numbers"]) for r in model.extract(texts, "doc_id", client).collect()] == [(1, "学校获批国家项目3项", ["3项"])]
 
 
 def test_repaired_json(spark):
@@ -65,7 +160,13 @@ def test_report(spark):
     rows = [(r["section"], r["item_no"], r["claim_id"]) for r in report.sectioned(df).orderBy("section_no", "item_no").collect()]
     assert rows == [("not_found", 1, 3), ("flagged", 1, 2), ("flagged", 2, 4), ("flagged", 3, 5), ("confirmed", 1, 1), ("confirmed", 2, 2)]
     lines = [r["line"] for r in report.markdown_lines(df).orderBy("section_no", "item_no", "line_no").collect()]
-    assert "| 1 | 甲｜一 | s |" in lines and "| 2 | 乙 | s ⚠ |" in lines and "| 1 | 丙 | — | — |" in lines
+    assert "| 1 | 甲｜一 | s |" in lines and "| 2 | 乙 | s ⚠ |" in lines and "| 1 |  | 丙 | — | — |" in lines
+    assert lines[1] == "生成时间：  共 6 条" and "<details><summary>展开查看</summary>" in lines and lines[-1] == "</details>" and not any(x.startswith("> ") for x in lines)
+    labelled = df.withColumn("verifiable", F.when(F.col("claim_id") == 3, True))
+    lines = [r["line"] for r in report.markdown_lines(labelled, date="2026-01-02", n_references=4).orderBy("section_no", "item_no", "line_no").collect()]
+    assert lines[1] == "生成时间：2026-01-02  参考文档：4 份  共 6 条" and "| 1 | 🔍 可核实 | 丙 | — | — |" in lines
+    assert "> 可核实（建议优先核查）：1 条　　不可核实（修辞、标题、原则）：0 条　　未标注：0 条" in lines
+    assert "| 警告 | KEYWORD_SHORT; NUMBER_MISSING |" in lines and report.console_summary(df).startswith("claims: 6\n✓: 2\n✗: 1\n")
     assert any(x.startswith("| 原文片段 | `乙") and x.endswith("…` |") for x in lines) and "✗ 未找到：1　　⚠ 反向验证重点关注：1　　△ 需关注：2　　✓ 已确认：2" in lines
     advice = report.sheets(df)["warned"].first()["advice"]
     assert advice.startswith("①") and "③" in advice
@@ -116,7 +217,7 @@ def test_annotations_and_sinks(spark, tmp_path):
     assert again.count() == 6 and again.orderBy("claim_id").first()["claim_text"] == "甲|一"
     files.write_markdown(report.markdown_lines(df), str(tmp_path / "md"))
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "md").rglob("*.txt"))
-    assert text.startswith("# 核对清单 — p\n## 概览\n") and text.index("## ✗") < text.index("## ⚠") < text.index("## ✓")
+    assert text.startswith("# 核对清单 — p\n生成时间：") and text.index("## ✗") < text.index("## ⚠") < text.index("## ✓")
 
 
 def test_following(spark, tmp_path):

@@ -1,20 +1,12 @@
-"""The optional model-based review: who is asked, what is asked, and what the answers change.
-
-The model is a client given by the caller: a function from a list of messages to a list of answers (JSON
-text, or None for a failed call). Without one nothing changes."""
+"""The optional model-based review: who is asked, and what the answers change. What is asked, and how, is in model."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from .claims import batches
-
 # Verdicts and the status that each stands for; the second line are the names used in llm_verdicts.
 VERDICTS = {
     "confirmed": L.CONFIRMED, "needs_review": L.REVIEW, "inconsistent": L.INCONSISTENT, "not_found": L.NOT_FOUND,
@@ -47,37 +39,6 @@ def classify_queue(claims: DataFrame) -> DataFrame:
     return claims.filter(F.contains("status", F.lit("✗")) & F.col("verifiable").isNull())
 
 
-def _listed(label: str, items: Column, mark: str) -> Column:
-    return F.when(F.size(F.coalesce(items, F.array())) > 0, F.concat(F.lit(f"（{label}："), F.concat_ws(mark, items), F.lit("）"))).otherwise("")
-
-
-def batch_messages(queue: DataFrame, size: int = L.JUDGE_BATCH) -> DataFrame:
-    """target_path, batch_no, n, message: the claims of a batch with numbers, names, sub-claims and up to
-    three pieces of evidence of up to 500 characters."""
-    rows = batches(queue, "claim_id", size, "target_path")
-    texts = F.transform(F.coalesce("sub_claims", F.array()), lambda s: s["text"])
-    head = F.concat(
-        F.format_string("【声明 %d】", "index"), "claim_text", _listed("数字", F.col("numbers"), ", "), _listed("专名", F.col("entities"), ", "),
-        F.when(F.size(texts) > 1, _listed("子命题", texts, "；")).otherwise(""),
-    )
-    lines = F.transform(F.slice("evidence", 1, 3), lambda e, i: F.concat(F.lit("  ["), i + 1, F.lit("]"), F.coalesce(e["source"], F.lit("")), F.lit(": "), F.left(e["text"], F.lit(500))))
-    proof = F.when(F.size("evidence") > 0, F.concat(F.lit("【证据】\n"), F.concat_ws("\n", lines))).otherwise("【证据】（无候选证据）")
-    rows = rows.select("target_path", "batch_no", "index", F.concat(head, F.lit("\n"), proof, F.lit("\n")).alias("part"))
-    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("index", "part"))), lambda s: s["part"]))  # `size` rows at most
-    return rows.groupBy("target_path", "batch_no").agg(F.count(F.lit(1)).alias("n"), joined.alias("message"))
-
-
-def ask(messages: DataFrame, client: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """Adds answer (JSON text or null) to messages, a call a partition's batch of rows."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(answer=client(frame["message"].tolist()))
-
-    schema = messages.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    return messages.mapInPandas(run, f"{schema}, answer string")
-
-
 def repaired(answer: Column, schema: str = ANSWERS) -> Column:
     """Rows of a model's JSON answer: code fences go; if it still is no JSON, what lies between the first
     and the last brace or bracket counts; a bare list counts as the list of results."""
@@ -112,15 +73,16 @@ def model_claims(answers: DataFrame, text_id: str) -> DataFrame:
     return first.select(text_id, "claim_text", kind.alias("kind"), "f.numbers", "f.entities")
 
 
-def apply_verdicts(claims: DataFrame, verdicts: DataFrame, batch: bool = True) -> DataFrame:
+def apply_verdicts(claims: DataFrame, verdicts: DataFrame, queued: bool = False) -> DataFrame:
     """claims (claim_id, status, ..., snippet) and verdicts (claim_id, verdict, citation, reasoning,
     verifiable) -> claim_id, status, citation, reasoning, verifiable, note.
 
     A missing or unknown verdict leaves the status, with a note. A verdict changes the status only where
     there is evidence, so that a claim not found without any is but labelled; a reason becomes a note
-    only if it speaks against the claim. Both sides have one row a claim."""
+    only if it speaks against the claim. Both sides have one row a claim. With `queued` the claims are those that were
+    asked about, with their evidence; otherwise they are found by judge_queue."""
     answers = verdicts.select("claim_id", F.lit(True).alias("answered"), F.lower(F.trim("verdict")).alias("verdict"), F.trim("citation").alias("citation"), F.trim("reasoning").alias("reasoning"), "verifiable")
-    rows = judge_queue(claims).select("claim_id", "status", F.size("evidence").alias("n_evidence")).join(answers, "claim_id", "left")
+    rows = (claims if queued else judge_queue(claims)).select("claim_id", "status", F.size("evidence").alias("n_evidence")).join(answers, "claim_id", "left")
     known = F.create_map(*(F.lit(x) for pair in VERDICTS.items() for x in pair))
     meant = F.try_element_at(known, F.col("verdict"))
     kept = F.col("answered").isNull() | meant.isNull()

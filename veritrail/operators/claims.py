@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..session import materialize
+from . import ordering
+from .ordering import numbered
 
 
 def category_words(words: DataFrame) -> list[str]:
@@ -54,28 +56,38 @@ def prompt_texts(texts: DataFrame, text_id: str, most: int = 3500) -> DataFrame:
 
 
 def conflicts(claims: DataFrame, similarity: float = L.ATTRIBUTE_SIMILARITY) -> DataFrame:
-    """target_path, claim_id, claim_text, entities -> target_path, entity, claim_a, claim_b, n_a, n_b,
-    similarity: claims of a target that share a name but few of the words around it (an off-by-default check).
+    """target_path, claim_id, claim_text, entities -> target_path, entity, claim_id, n, n_conflicts: claims of a target
+    that share a name but few of the words around it (an off-by-default check).
 
-    Claims with the same words around the name are one class and agree; a row stands for all pairs of two
-    classes, with the least claim and the number of claims of each."""
+    Claims with the same words around the name are one class and agree; a row stands for a class, with its least claim and
+    its number of claims, and tells with how many claims of other classes it conflicts. Nearly all classes conflict, so those
+    that don't are found, by a join on the rarest words of each that a pair of that similarity can't all lack, and taken off."""
     named = claims.select("target_path", "claim_id", "claim_text", F.explode(F.array_distinct("entities")).alias("entity"))
     words = F.array_sort(T.attribute_words(F.col("claim_text"), F.col("entity"))).alias("words")
-    classes = named.select("target_path", "claim_id", "entity", words).groupBy("target_path", "entity", "words").agg(F.min("claim_id").alias("claim"), F.count(F.lit(1)).alias("n"))
-    a, b = (classes.select("target_path", "entity", F.col("claim").alias(f"claim_{s}"), F.col("n").alias(f"n_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
-    pairs = a.join(b, ["target_path", "entity"]).filter("claim_a < claim_b")
-    union = F.size(F.array_union("words_a", "words_b"))
-    value = F.size(F.array_intersect("words_a", "words_b")) / F.nullif(union, F.lit(0))
-    return pairs.select("target_path", "entity", "claim_a", "claim_b", "n_a", "n_b", value.alias("similarity")).filter(F.col("similarity") < similarity)
+    within = ["target_path", "entity"]
+    classes = named.select("target_path", "claim_id", "entity", words).groupBy(*within, "words").agg(F.min("claim_id").alias("claim_id"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes, "classes")
+    totals = classes.groupBy(*within).agg(F.sum("n").alias("_total"))
+    single = classes.select(*within, "claim_id", F.explode("words").alias("word"))
+    held = single.groupBy(*within, "word").agg(F.count(F.lit(1)).alias("_held"))
+    rare = single.join(held, [*within, "word"]).groupBy(*within, "claim_id").agg(F.array_sort(F.collect_list(F.struct("_held", "word"))).alias("_words"))
+    keys = rare.select(*within, "claim_id", F.explode(F.slice("_words", F.lit(1), F.size("_words") - F.ceil(F.size("_words") * similarity).cast("int") + 1)).alias("_k")).select(*within, "claim_id", F.col("_k.word").alias("word"))
+    met = keys.join(keys.withColumnRenamed("claim_id", "_other"), [*within, "word"]).filter("claim_id <> _other").select(*within, "claim_id", "_other").distinct()
+    a = classes.select(*within, "claim_id", F.col("words").alias("_a"))
+    b = classes.select(*within, F.col("claim_id").alias("_other"), F.col("words").alias("_b"), F.col("n").alias("_n"))
+    value = F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))
+    agreeing = met.join(a, [*within, "claim_id"]).join(b, [*within, "_other"]).filter(value >= similarity).groupBy(*within, "claim_id").agg(F.sum("_n").alias("_agree"))
+    rows = classes.select(*within, "claim_id", "n").join(totals, within).join(agreeing, [*within, "claim_id"], "left")
+    rows = rows.select(*within, "claim_id", "n", (F.col("_total") - F.col("n") - F.coalesce("_agree", F.lit(0))).alias("n_conflicts"))
+    return rows.filter("n_conflicts > 0")
 
 
 def batches(items: DataFrame, order: str, size: int, within: str) -> DataFrame:
-    """Adds batch_no and index (from 1) within a target, by order."""
-    n = F.row_number().over(W.partitionBy(within).orderBy(order)) - 1
-    return items.withColumn("_n", n).withColumns({"batch_no": F.floor(F.col("_n") / size), "index": F.col("_n") % size + 1}).drop("_n")
+    """Adds batch_no and index (from 1) within a target, by order (a number)."""
+    rows = numbered(items, [within], [order], "_n")
+    return rows.withColumns({"batch_no": F.floor((F.col("_n") - 1) / size), "index": (F.col("_n") - 1) % size + 1}).drop("_n")
 
 
 def neighbours(claims: DataFrame, within: str = "target_path") -> DataFrame:
     """Adds the claim text before and after, in the order of the target; empty at the ends."""
-    w = W.partitionBy(within).orderBy("pos", "claim_id")
-    return claims.withColumns({"before": F.coalesce(F.lag("claim_text").over(w), F.lit("")), "after": F.coalesce(F.lead("claim_text").over(w), F.lit(""))})
+    return ordering.neighbours(claims, within, ["pos", "claim_id"], "claim_text")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 # What to do about each kind of warning, in the order of the report; the second code is the one used in checklist_result.
 ADVICE = (
     (("KEYWORD_SHORT", "short_keyword"), "① 匹配关键词太短，请读取原文片段确认是否真的对应同一表述"),
@@ -19,6 +20,12 @@ NO_ADVICE = "请逐字比对目标表述与原文片段是否一致"
 SECTIONS = ("not_found", "flagged", "confirmed")
 
 
+def console_summary(claims: DataFrame) -> str:
+    """The counts of all claims, as lines of text."""
+    r = summary(claims).first()
+    return "\n".join(f"{label}: {r[c]}" for label, c in (("claims", "n_claims"), ("✓", "n_confirmed"), ("✗", "n_not_found"), ("△", "n_attention"), ("⚠", "n_warned"), ("compound", "n_compound"), ("with names", "n_with_entities")))
+
+
 def codes(warnings: Column) -> Column:
     """The codes of an array of warnings; empty for null."""
     return F.coalesce(F.transform(warnings, lambda w: w["code"]), F.array().cast("array<string>"))
@@ -55,12 +62,18 @@ def sectioned(claims: DataFrame, within: str = "target_path") -> DataFrame:
     m = _marks()
     places = F.filter(F.array(*(F.when(m[s], F.struct(F.lit(k + 1).alias("section_no"), F.lit(s).alias("section"))) for k, s in enumerate(SECTIONS))), lambda x: x.isNotNull())
     rows = claims.withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
-    number = F.row_number().over(W.partitionBy(within, "section_no").orderBy("pos", "claim_id"))
-    return rows.withColumn("item_no", number)
+    return numbered(rows, [within, "section_no"], ["pos", "claim_id"], "item_no").withColumn("item_no", F.col("item_no").cast("int"))
+
 
+#: How a label of verifiability shows in the table of claims not found.
+VERIFIABLE = {True: "🔍 可核实", False: "— 不可核实"}
 
-def markdown_lines(claims: DataFrame, within: str = "target_path") -> DataFrame:
-    """within, section_no, item_no, line_no, line: the report of each target, in that order."""
+
+def markdown_lines(claims: DataFrame, within: str = "target_path", date: str = "", n_references: int | None = None) -> DataFrame:
+    """within, section_no, item_no, part, line_no, line: the report of each target, in that order. claims may have the
+    column verifiable (boolean); where a target has labels, its section of claims not found tells how many of each."""
+    if "verifiable" not in claims.columns:
+        claims = claims.withColumn("verifiable", F.lit(None).cast("boolean"))
     rows = sectioned(claims, within)
     dash = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "—").otherwise(c)
     head = F.replace(F.left("claim_text", F.lit(80)), F.lit("|"), F.lit("｜"))
@@ -70,23 +83,44 @@ def markdown_lines(claims: DataFrame, within: str = "target_path") -> DataFrame:
     shown = F.when(F.coalesce(cut, F.lit("")) == "", "—").otherwise(F.concat(F.lit("`"), F.replace(cut, F.lit("`"), F.lit("")), F.lit("`")))
     cell = lambda label, value: F.concat(F.lit(f"| {label} | "), value, F.lit(" |"))
     warned = codes(F.col("warnings"))
+    label = F.coalesce(F.when(F.col("verifiable"), VERIFIABLE[True]).when(~F.col("verifiable"), VERIFIABLE[False]), F.lit(""))
+    detail = F.concat_ws("; ", F.transform("warnings", lambda w: F.concat_ws("：", w["code"], F.when(w["detail"] != "", w["detail"]))))
     row = {
-        "not_found": F.array(F.concat(F.lit("| "), n, F.lit(" | "), head, F.lit(" | "), listed("entities"), F.lit(" | "), listed("numbers"), F.lit(" |"))),
+        "not_found": F.array(F.concat(F.lit("| "), n, F.lit(" | "), label, F.lit(" | "), head, F.lit(" | "), listed("entities"), F.lit(" | "), listed("numbers"), F.lit(" |"))),
         "flagged": F.array(
-            F.concat(F.lit("### "), n, F.lit(" · "), F.coalesce("status", F.lit(""))), F.lit("**表述：**  "), F.col("claim_text"), F.lit("| 字段 | 内容 |"), F.lit("|------|------|"),
-            cell("出处", dash(F.col("source"))), cell("原文片段", shown), cell("匹配关键词", dash(F.col("matched_keyword"))), cell("警告", dash(F.concat_ws("; ", warned))), cell("建议", advice(warned)),
+            F.lit(""), F.concat(F.lit("### "), n, F.lit(" · "), F.coalesce("status", F.lit(""))), F.lit(""), F.lit("**表述：**  "), F.col("claim_text"), F.lit(""), F.lit("| 字段 | 内容 |"), F.lit("|------|------|"),
+            cell("出处", dash(F.col("source"))), cell("原文片段", shown), cell("匹配关键词", dash(F.col("matched_keyword"))), cell("警告", dash(detail)), cell("建议", advice(warned)),
         ),
         "confirmed": F.array(F.concat(F.lit("| "), n, F.lit(" | "), head, F.lit(" | "), dash(F.col("source")), F.when(F.size(warned) > 0, " ⚠").otherwise(""), F.lit(" |"))),
     }
     lines = F.when(F.col("section") == "not_found", row["not_found"]).when(F.col("section") == "flagged", row["flagged"]).otherwise(row["confirmed"])
     body = rows.select(within, "section_no", "item_no", F.posexplode(lines).alias("line_no", "line"))
-    count = summary(claims, within)
+    m = _marks()
+    labelled = claims.groupBy(within).agg(
+        F.count_if(m["not_found"] & F.col("verifiable")).alias("n_verifiable"), F.count_if(m["not_found"] & ~F.col("verifiable")).alias("n_unverifiable"),
+        F.count_if(m["not_found"] & F.col("verifiable").isNull()).alias("n_unlabelled"), F.count_if(m["flagged"]).alias("n_flagged"),
+    )
+    count = summary(claims, within).join(labelled, within)
     overview = F.concat(F.lit("✗ 未找到："), "n_not_found", F.lit("　　⚠ 反向验证重点关注："), "n_warned", F.lit("　　△ 需关注："), "n_attention", F.lit("　　✓ 已确认："), "n_confirmed")
-    titles = F.array(F.concat(F.lit("# 核对清单 — "), within), F.lit("## 概览"), overview)
-    top = count.select(within, F.lit(0).alias("section_no"), F.lit(0).alias("item_no"), F.posexplode(titles).alias("line_no", "line"))
-    captions = F.array(*(F.struct(F.lit(k).alias("section_no"), F.lit(t).alias("line")) for k, t in ((1, "## ✗ 未找到"), (2, "## ⚠ 反向验证重点关注"), (3, "## ✓ 已确认"))))
-    heads = count.select(within, F.explode(captions).alias("c")).select(within, "c.section_no", F.lit(0).alias("item_no"), F.lit(0).alias("line_no"), "c.line")
-    return top.unionByName(heads).unionByName(body)
+    references = f"  参考文档：{n_references} 份" if n_references is not None else ""
+    made = F.concat(F.lit(f"生成时间：{date}{references}  共 "), "n_claims", F.lit(" 条"))
+    groups = F.concat(F.lit("> 可核实（建议优先核查）："), "n_verifiable", F.lit(" 条　　不可核实（修辞、标题、原则）："), "n_unverifiable", F.lit(" 条　　未标注："), "n_unlabelled", F.lit(" 条"))
+    has_labels = F.col("n_verifiable") + F.col("n_unverifiable") > 0
+    kept = lambda *items: F.filter(F.array(*items), lambda x: x.isNotNull())
+    none = lambda c: F.when(F.col(c) == 0, "（无）")
+    some = lambda c, text: F.when(F.col(c) > 0, text)
+    titled = lambda mark, c, more="": F.concat(F.lit(f"## {mark}（"), c, F.lit(f" 条）{more}"))
+    heads = {
+        0: (F.concat(F.lit("# 核对清单 — "), within), made, F.lit(""), F.lit("## 概览"), overview, F.lit(""), F.lit("---")),
+        1: (F.lit(""), titled("✗ 未找到", "n_not_found", "，建议人工逐条核查"), F.when(has_labels, groups), none("n_not_found"), some("n_not_found", ""), some("n_not_found", "| # | 可核实性 | 表述内容 | 命中实体 | 命中数字 |"), some("n_not_found", "|---|---------|---------|---------|--------|")),
+        2: (F.lit(""), F.lit("---"), F.lit(""), titled("⚠ 反向验证重点关注", "n_flagged"), none("n_flagged")),
+        3: (F.lit(""), F.lit("---"), F.lit(""), titled("✓ 已确认", "n_confirmed"), none("n_confirmed"), some("n_confirmed", "<details><summary>展开查看</summary>"), some("n_confirmed", ""), some("n_confirmed", "| # | 表述内容（前 80 字） | 出处 |"), some("n_confirmed", "|---|------------------|------|")),
+    }
+    tail = count.filter("n_confirmed > 0").select(within, F.lit(4).alias("section_no"), F.lit(0).alias("item_no"), F.posexplode(F.array(F.lit(""), F.lit("</details>"))).alias("line_no", "line"))
+    out = body.unionByName(tail)
+    for number, items in heads.items():
+        out = out.unionByName(count.select(within, F.lit(number).alias("section_no"), F.lit(0).alias("item_no"), F.posexplode(kept(*items)).alias("line_no", "line")))
+    return out
 
 
 def sheets(claims: DataFrame) -> dict[str, DataFrame]:

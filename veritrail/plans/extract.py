@@ -88,7 +88,24 @@ _TEXTS = S.CLAIMS + ", src AS (SELECT claim_id AS id, claim_text AS txt FROM cla
 _ENTITIES = f"""e0 AS (SELECT id, {S.entity_list('txt')} AS a FROM src, cat),
   e1 AS (SELECT id, unnest(a) AS e, generate_subscripts(a, 1) AS i FROM e0), ents AS (SELECT id, e, min(i) AS i FROM e1 GROUP BY id, e)"""
 
+# greedy packing: parts so far in one string, the last part behind the last separator
+_PROMPT = """ps AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim}), lambda x: x <> '') AS ps FROM documents),
+  jo AS (SELECT doc_id, list_reduce(ps, lambda a, p: CASE WHEN length(list_last(string_split(a, chr(30)))) + length(p) > 3500 THEN a || chr(30) || p ELSE a || chr(10) || p END) AS joined FROM ps WHERE len(ps) > 0),
+  pa AS (SELECT doc_id, string_split(joined, chr(30)) AS parts FROM jo)""".format(trim=S.trim("x"))
+# windows: the last boundary of the best kind within the target, else the next one; kinds 1 to 3, the end of the text counts as 1
+_CHUNK = """dc AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''), dq AS (SELECT doc_id, text, unnest(range(1, n)) AS p FROM dc),
+  de AS (SELECT doc_id, p, left(text, p) AS front, substr(text, p + 1, 1) AS next FROM dq WHERE contains('。！？…' || chr(10) || chr(13) || chr(9) || ' ', substr(text, p, 1))),
+  db AS (SELECT doc_id, p, CASE WHEN right(front, 2) = chr(10) || chr(10) AND next <> chr(10) THEN 1 WHEN regexp_matches(front, '[。！？…][\\n\\r]*$') AND next <> chr(10) AND next <> chr(13) AND NOT (contains('。！？…', next) AND contains('。！？…', right(front, 1))) THEN 2
+    WHEN regexp_matches(front, '[.!?][ \\t\\n\\r]+$') AND NOT contains(' ' || chr(9) || chr(10) || chr(13), next) THEN 3 END AS kind FROM de UNION ALL SELECT doc_id, n, 1 FROM dc),
+  bl AS MATERIALIZED (SELECT doc_id, list((p, kind) ORDER BY p) AS ends FROM db WHERE kind IS NOT NULL GROUP BY doc_id),
+  wi AS (SELECT dc.doc_id, 0 AS start, n, ends, {end0} AS e FROM dc JOIN bl USING (doc_id)
+    UNION ALL SELECT doc_id, s, n, ends, {end1} FROM (SELECT doc_id, n, ends, CASE WHEN e - 150 > start THEN e - 150 ELSE e END AS s FROM wi WHERE e < n))"""
+_END = "coalesce((list_sort(list_transform(list_filter(ends, lambda x: x[1] > {s} AND x[1] <= {s} + 600), lambda x: (x[2], -x[1])))[1])[2] * -1, list_filter(ends, lambda x: x[1] > {s})[1][1])"
+_CHUNK = _CHUNK.format(end0=_END.format(s="0"), end1=_END.format(s="s"))
+
 SQL = {
+    "prompt_texts": f"WITH {_PROMPT} SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part_no, CAST(length(unnest(parts)) AS INTEGER) AS n_chars, md5(unnest(parts)) AS digest FROM pa",
+    "chunks_boundary": f"WITH RECURSIVE {_CHUNK}, ou AS (SELECT w.doc_id, start, substr(text, start + 1, e - start) AS text FROM wi w JOIN dc ON dc.doc_id = w.doc_id) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS offset, text FROM ou WHERE {S.trim('text')} <> ''",
     "claims_split": f"WITH {_SPLIT} SELECT * FROM sentences",
     "claim_kind_counts": f"WITH {_SPLIT} SELECT CASE WHEN regexp_matches(claim_text, '{S.NUMBER}') THEN '定量' ELSE '定性' END AS kind, count(*) AS n_claims FROM sentences GROUP BY 1",
     "numbers_extract": f"WITH {_TEXTS}, {S.numbers('src')} SELECT id AS claim_id, CAST(row_number() OVER (PARTITION BY id ORDER BY length(n) DESC, n) - 1 AS INTEGER) AS ord, n AS number FROM nums",

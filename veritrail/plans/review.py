@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..operators import adjudicate, claims, evaluate, report
+from ..operators import adjudicate, claims, evaluate, model, report
 from ..sources import checks, documents, gold, verdicts
 from ..sources.files import annotation_rows
 from . import sql as S
@@ -28,10 +28,21 @@ def classify_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adjudicate.batch_messages(adjudicate.judge_queue(checks(spark, sf_dir)))
+    rows = model.batch_messages(adjudicate.judge_queue(checks(spark, sf_dir)))
     return rows.select("target_path", "batch_no", "n", F.length("message").alias("n_chars"), F.md5("message").alias("digest"))
 
 
+def classify_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both forms of the message, with and without fields."""
+    queue = adjudicate.classify_queue(checks(spark, sf_dir).withColumn("verifiable", F.lit(None).cast("boolean")))
+    both = [model.classify_messages(queue, fields).select(F.lit(form).alias("form"), "target_path", "batch_no", F.md5("message").alias("digest")) for form, fields in (("text", False), ("fields", True))]
+    return both[0].unionByName(both[1])
+
+
+def prefilter_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.prefilter_messages(checks(spark, sf_dir, "claim_id", "target_path", "pos", "claim_text")).select("target_path", "batch_no", "n", F.md5("message").alias("digest"))
+
+
 def adjudication_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudicate.judge_queue(checks(spark, sf_dir)).select("claim_id", "status", F.size("evidence").alias("n_evidence"))
 
@@ -67,14 +78,17 @@ def section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.markdown_lines(checks(spark, sf_dir))
+    rows = checks(spark, sf_dir).join(verdicts(spark, sf_dir).select("claim_id", "verifiable"), "claim_id", "left")
+    return report.markdown_lines(rows, date="2026-01-01", n_references=9)
 
 
 def report_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [df.groupBy(F.lit(name).alias("sheet")).agg(F.count(F.lit(1)).alias("n_rows")) for name, df in report.sheets(checks(spark, sf_dir)).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """The rows of the five sheets, with a digest of what else is in them."""
+    out = None
+    for name, df in report.sheets(checks(spark, sf_dir)).items():
+        cells = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns if c != "claim_id"))
+        part = df.select(F.lit(name).alias("sheet"), "claim_id", F.md5(cells).alias("digest"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -113,8 +127,7 @@ def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intra_doc_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = claims.conflicts(checks(spark, sf_dir, "claim_id", "target_path", "claim_text", "entities"))
-    return rows.withColumn("similarity", F.round("similarity", 6))
+    return claims.conflicts(checks(spark, sf_dir, "claim_id", "target_path", "claim_text", "entities"))
 
 
 def ab_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +152,7 @@ def jsonl_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    context_lag_lead, batch_assign, classify_batches, batch_messages, adjudication_queue, verdict_merge, verdict_counts, llm_parse, prefilter_kept, status_summary, section_numbers, report_rows,
+    context_lag_lead, batch_assign, classify_batches, batch_messages, classify_messages, prefilter_messages, adjudication_queue, verdict_merge, verdict_counts, llm_parse, prefilter_kept, status_summary, section_numbers, report_rows,
     report_sheets, advice_text, coverage_notes, eval_match, eval_match_documents, eval_recall, eval_recall_by_type, eval_confusion, intra_doc_conflicts, ab_diff, survival_check, jsonl_annotations,
 )
 
@@ -158,6 +171,35 @@ def _advice(list_sql: str) -> str:
     return f"coalesce(nullif(concat_ws('; ', {parts}), ''), '{report.NO_ADVICE}')"
 
 
+def _bracket(label: str, items: str, mark: str) -> str:
+    return f"CASE WHEN len(coalesce({items}, [])) > 0 THEN '（{label}：' || array_to_string({items}, '{mark}') || '）' ELSE '' END"
+
+
+def _cell(label: str, value: str) -> str:
+    return f"'| {label} | ' || {value} || ' |'"
+
+
+def _dash(value: str) -> str:
+    return f"coalesce(nullif({value}, ''), '—')"
+
+
+_NOTE = f"CASE WHEN len({_CODES}) = 0 THEN '✓ 实体全部匹配' WHEN list_has_any({_CODES}, ['ENTITY_UNCOVERED', 'entity_uncovered']) THEN array_to_string({_CODES}, '; ') ELSE '见反向验证警告' END"
+_HEAD80 = "replace(left(claim_text, 80), '|', '｜')"
+_CUT = "CASE WHEN length(snippet) > 120 THEN left(snippet, 120) || '…' ELSE snippet END"
+_DETAILS = "array_to_string(list_transform(coalesce(warnings, []), lambda w: concat_ws('：', w.code, nullif(w.detail, ''))), '; ')"
+_REPORT = f"""it AS (SELECT sn.*, v.verifiable FROM sn LEFT JOIN v ON v.claim_id = sn.claim_id),
+  bo AS (SELECT target_path, section_no, item_no, CASE section WHEN 'not_found' THEN ['| ' || item_no || ' | ' || CASE WHEN verifiable THEN '🔍 可核实' WHEN NOT verifiable THEN '— 不可核实' ELSE '' END || ' | ' || {_HEAD80} || ' | ' || {_dash("array_to_string(entities, '、')")} || ' | ' || {_dash("array_to_string(numbers, '、')")} || ' |']
+    WHEN 'flagged' THEN ['', '### ' || item_no || ' · ' || coalesce(status, ''), '', '**表述：**  ', claim_text, '', '| 字段 | 内容 |', '|------|------|', {_cell('出处', _dash('source'))}, {_cell('原文片段', f"coalesce('`' || replace(nullif({_CUT}, ''), '`', '') || '`', '—')")},
+      {_cell('匹配关键词', _dash('matched_keyword'))}, {_cell('警告', _dash(_DETAILS))}, {_cell('建议', _advice(_CODES))}]
+    ELSE ['| ' || item_no || ' | ' || {_HEAD80} || ' | ' || {_dash('source')} || CASE WHEN warned THEN ' ⚠' ELSE '' END || ' |'] END AS ls FROM it),
+  ct AS (SELECT target_path, {_COUNTS}, count(*) FILTER (WHERE warned OR tri) AS n_flagged, count(*) FILTER (WHERE nf AND verifiable) AS yes, count(*) FILTER (WHERE nf AND NOT verifiable) AS no, count(*) FILTER (WHERE nf AND verifiable IS NULL) AS un FROM fl LEFT JOIN v ON v.claim_id = fl.claim_id GROUP BY target_path),
+  he AS (SELECT target_path, 0 AS section_no, ['# 核对清单 — ' || target_path, '生成时间：2026-01-01  参考文档：9 份  共 ' || n_claims || ' 条', '', '## 概览', '✗ 未找到：' || n_not_found || '　　⚠ 反向验证重点关注：' || n_warned || '　　△ 需关注：' || n_attention || '　　✓ 已确认：' || n_confirmed, '', '---'] AS ls FROM ct
+    UNION ALL SELECT target_path, 1, list_filter(['', '## ✗ 未找到（' || n_not_found || ' 条），建议人工逐条核查', CASE WHEN yes + no > 0 THEN '> 可核实（建议优先核查）：' || yes || ' 条　　不可核实（修辞、标题、原则）：' || no || ' 条　　未标注：' || un || ' 条' END,
+      CASE WHEN n_not_found = 0 THEN '（无）' END, CASE WHEN n_not_found > 0 THEN '' END, CASE WHEN n_not_found > 0 THEN '| # | 可核实性 | 表述内容 | 命中实体 | 命中数字 |' END, CASE WHEN n_not_found > 0 THEN '|---|---------|---------|---------|--------|' END], lambda x: x IS NOT NULL) FROM ct
+    UNION ALL SELECT target_path, 2, list_filter(['', '---', '', '## ⚠ 反向验证重点关注（' || n_flagged || ' 条）', CASE WHEN n_flagged = 0 THEN '（无）' END], lambda x: x IS NOT NULL) FROM ct
+    UNION ALL SELECT target_path, 3, list_filter(['', '---', '', '## ✓ 已确认（' || n_confirmed || ' 条）', CASE WHEN n_confirmed = 0 THEN '（无）' END] || CASE WHEN n_confirmed > 0 THEN ['<details><summary>展开查看</summary>', '', '| # | 表述内容（前 80 字） | 出处 |', '|---|------------------|------|'] ELSE [] END, lambda x: x IS NOT NULL) FROM ct
+    UNION ALL SELECT target_path, 4, ['', '</details>'] FROM ct WHERE n_confirmed > 0),
+  al AS (SELECT target_path, section_no, item_no, ls FROM bo UNION ALL SELECT target_path, section_no, 0, ls FROM he), report AS (SELECT target_path, section_no, item_no, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM al)"""
 _GOLD = f"""{S.CLAIMS}, eq AS (SELECT item_id, min(c.claim_id) AS claim_id, min(length(g.claim_text)) AS overlap FROM gold_annotations g JOIN claims c ON g.claim_text = c.claim_text GROUP BY item_id),
   rest AS (SELECT item_id, replace(claim_text, ' ', '') AS item FROM gold_annotations WHERE item_id NOT IN (SELECT item_id FROM eq)), tx AS (SELECT claim_id, replace(claim_text, ' ', '') AS t FROM claims),
   mt AS (SELECT item_id, claim_id, list_max(list_filter(range({evaluate.LEAST_OVERLAP}, least(length(item), length(t)) + 1), lambda n: contains(t, substr(item, 1, n)))) AS overlap FROM rest JOIN tx ON length(item) >= {evaluate.LEAST_OVERLAP} AND contains(t, substr(item, 1, {evaluate.LEAST_OVERLAP}))),
@@ -184,7 +226,23 @@ SQL = {
     "prefilter_kept": f"WITH {S.CLAIMS}, {_VERDICTS} SELECT target_path, count(*) AS n_kept FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM answers WHERE NOT coalesce(verifiable, true)) GROUP BY 1",
     "status_summary": f"WITH {S.CLAIMS}, {_FLAGS} SELECT target_path, {_COUNTS} FROM fl GROUP BY 1",
     "section_numbers": f"WITH {S.CLAIMS}, {_FLAGS}, {_SECTIONS} SELECT target_path, CAST(section_no AS INTEGER) AS section_no, section, CAST(item_no AS INTEGER) AS item_no, claim_id FROM sn",
-    "report_sheets": f"""WITH {S.CLAIMS}, {_FLAGS} SELECT 'all' AS sheet, count(*) AS n_rows FROM fl UNION ALL SELECT 'confirmed', count(*) FROM fl WHERE conf UNION ALL SELECT 'pending', count(*) FROM fl WHERE nf OR tri UNION ALL SELECT 'warned', count(*) FROM fl WHERE warned UNION ALL SELECT 'coverage', count(*) FROM fl WHERE len(coalesce(entities, [])) > 0""",
+    "report_sheets": f"""WITH {S.CLAIMS}, {_FLAGS}, t AS (SELECT *, coalesce(array_to_string({_CODES}, '; '), '') AS cs, coalesce(array_to_string(numbers, ', '), '') AS ns, coalesce(array_to_string(entities, ', '), '') AS es, target_path || chr(31) || coalesce(kind, '') || chr(31) || claim_text || chr(31) || coalesce(status, '') AS base FROM fl)
+      SELECT 'all' AS sheet, claim_id, md5(base || chr(31) || coalesce(source, '') || chr(31) || coalesce(snippet, '') || chr(31) || cs || chr(31) || ns) AS digest FROM t
+      UNION ALL SELECT 'confirmed', claim_id, md5(base || chr(31) || coalesce(source, '') || chr(31) || coalesce(snippet, '') || chr(31) || cs) FROM t WHERE conf UNION ALL SELECT 'pending', claim_id, md5(base || chr(31) || coalesce(snippet, '')) FROM t WHERE nf OR tri
+      UNION ALL SELECT 'warned', claim_id, md5(base || chr(31) || ns || chr(31) || coalesce(matched_keyword, '') || chr(31) || cs || chr(31) || {_advice(_CODES)}) FROM t WHERE warned
+      UNION ALL SELECT 'coverage', claim_id, md5(target_path || chr(31) || left(claim_text, 80) || chr(31) || es || chr(31) || coalesce(status, '') || chr(31) || {_NOTE}) FROM t WHERE len(coalesce(entities, [])) > 0""",
+    "report_rows": f"""WITH {S.CLAIMS}, {_FLAGS}, {_VERDICTS}, {_SECTIONS}, v AS (SELECT claim_id, any_value(verifiable) AS verifiable FROM answers GROUP BY claim_id), {_REPORT} SELECT target_path, CAST(section_no AS INTEGER) AS section_no, CAST(item_no AS INTEGER) AS item_no, CAST(line_no AS INTEGER) AS line_no, line FROM report""",
+    "batch_messages": f"""WITH {_QUEUE}, n AS (SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY claim_id) - 1 AS n0 FROM queue),
+      m AS (SELECT target_path, n0 // {L.JUDGE_BATCH} AS batch_no, n0, '【声明 ' || (n0 % {L.JUDGE_BATCH} + 1) || '】' || claim_text || {_bracket('数字', 'numbers', ', ')} || {_bracket('专名', 'entities', ', ')}
+        || CASE WHEN len(coalesce(sub_claims, [])) > 1 THEN '（子命题：' || array_to_string(list_transform(sub_claims, lambda s: s.text), '；') || '）' ELSE '' END || chr(10)
+        || CASE WHEN n_evidence > 0 THEN '【证据】' || chr(10) || '  [1]' || coalesce(source, '') || ': ' || left(snippet, 500) ELSE '【证据】（无候选证据）' END || chr(10) AS part FROM n),
+      g AS (SELECT target_path, batch_no, count(*) AS n, string_agg(part, chr(10) ORDER BY n0) AS message FROM m GROUP BY ALL) SELECT target_path, batch_no, n, CAST(length(message) AS INTEGER) AS n_chars, md5(message) AS digest FROM g""",
+    "classify_messages": f"""WITH {S.CLAIMS}, n AS (SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY claim_id) - 1 AS n0 FROM claims WHERE contains(status, '✗')),
+      m AS (SELECT target_path, n0 // {L.CLASSIFY_BATCH} AS batch_no, n0, '【' || (n0 % {L.CLASSIFY_BATCH} + 1) || '】' || claim_text AS part, concat_ws(' / ', CASE WHEN len(coalesce(numbers, [])) > 0 THEN '数字：' || array_to_string(numbers, ', ') END, CASE WHEN len(coalesce(entities, [])) > 0 THEN '实体：' || array_to_string(entities[1:5], ', ') END) AS f FROM n)
+      SELECT 'text' AS form, target_path, batch_no, md5(string_agg(part, chr(10) ORDER BY n0)) AS digest FROM m GROUP BY target_path, batch_no
+      UNION ALL SELECT 'fields', target_path, batch_no, md5(string_agg(part || CASE WHEN f <> '' THEN chr(10) || '  （' || f || '）' ELSE '' END, chr(10) ORDER BY n0)) FROM m GROUP BY target_path, batch_no""",
+    "prefilter_messages": f"""WITH {S.CLAIMS}, c AS (SELECT *, lag(claim_text) OVER w AS b, lead(claim_text) OVER w AS a FROM claims WINDOW w AS (PARTITION BY target_path ORDER BY pos, claim_id)), n AS (SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY claim_id) - 1 AS n0 FROM c)
+      SELECT target_path, n0 // {L.CLASSIFY_BATCH} AS batch_no, count(*) AS n, md5(string_agg('【' || (n0 % {L.CLASSIFY_BATCH} + 1) || '】' || claim_text || CASE WHEN b <> '' THEN chr(10) || '  前句：' || left(b, 60) ELSE '' END || CASE WHEN a <> '' THEN chr(10) || '  后句：' || left(a, 60) ELSE '' END || chr(10), chr(10) ORDER BY n0)) AS digest FROM n GROUP BY ALL""",
     "advice_text": f"WITH {S.CLAIMS}, {_FLAGS} SELECT claim_id, array_to_string({_CODES}, '; ') AS codes, {_advice(_CODES)} AS advice FROM fl WHERE warned",
     "coverage_notes": f"WITH {S.CLAIMS} SELECT claim_id, array_to_string(entities, ', ') AS names, CASE WHEN len({_CODES}) = 0 THEN '✓ 实体全部匹配' WHEN list_has_any({_CODES}, ['ENTITY_UNCOVERED', 'entity_uncovered']) THEN array_to_string({_CODES}, '; ') ELSE '见反向验证警告' END AS note FROM claims WHERE len(coalesce(entities, [])) > 0",
     "eval_match": f"WITH {_GOLD} SELECT * FROM gm",
@@ -194,8 +252,8 @@ SQL = {
     "eval_confusion": f"WITH {_SCORED} SELECT expected, predicted, count(*) AS n_items FROM scored GROUP BY ALL",
     "intra_doc_conflicts": f"""WITH {S.CLAIMS}, e AS (SELECT DISTINCT target_path, claim_id, claim_text, unnest(entities) AS entity FROM claims), n AS (SELECT *, instr(claim_text, entity) AS pl FROM e),
       a AS (SELECT target_path, claim_id, entity, CASE WHEN pl > 0 THEN list_sort(list_distinct({_WORDS})) ELSE [] END AS ws FROM n), k AS (SELECT target_path, entity, ws, min(claim_id) AS claim_id, count(*) AS n FROM a GROUP BY ALL),
-      p AS (SELECT x.target_path, x.entity, x.claim_id AS claim_a, y.claim_id AS claim_b, x.n AS n_a, y.n AS n_b, len(list_intersect(x.ws, y.ws)) AS i, len(list_distinct(list_concat(x.ws, y.ws))) AS u FROM k x JOIN k y ON x.target_path = y.target_path AND x.entity = y.entity AND x.claim_id < y.claim_id)
-      SELECT target_path, entity, claim_a, claim_b, n_a, n_b, round(i / u, 6) AS similarity FROM p WHERE u > 0 AND i / u < {L.ATTRIBUTE_SIMILARITY}""",
+      p AS (SELECT x.target_path, x.entity, x.claim_id, x.n, y.n AS m, len(list_intersect(x.ws, y.ws)) AS i, len(list_distinct(list_concat(x.ws, y.ws))) AS u FROM k x JOIN k y ON x.target_path = y.target_path AND x.entity = y.entity AND x.claim_id <> y.claim_id)
+      SELECT target_path, entity, claim_id, n, CAST(sum(m) AS BIGINT) AS n_conflicts FROM p WHERE u > 0 AND i / u < {L.ATTRIBUTE_SIMILARITY} GROUP BY ALL""",
     "ab_diff": f"""WITH {S.CLAIMS}, {_VERDICTS}, r AS (SELECT claim_id, CASE WHEN coalesce(contains(status, '✓'), false) THEN 'yes' ELSE 'no' END AS a FROM claims), m AS (SELECT claim_id, CASE WHEN verdict = 'support' THEN 'yes' ELSE 'no' END AS b FROM answers)
       SELECT coalesce(a, '?') AS value_a, coalesce(b, '?') AS value_b, count(*) AS n FROM r FULL JOIN m USING (claim_id) GROUP BY 1, 2""",
     "survival_check": f"WITH {S.CLAIMS}, {_VERDICTS}, kept AS (SELECT claim_text AS t FROM claims WHERE claim_id IN (SELECT claim_id FROM answers WHERE verifiable)) SELECT item_id FROM gold_annotations g WHERE NOT EXISTS (SELECT 1 FROM kept WHERE contains(t, claim_text) OR contains(claim_text, t))",

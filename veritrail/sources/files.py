@@ -114,7 +114,3 @@ def write_markdown(lines: DataFrame, folder: str, within: str = "target_path") -
     name = F.regexp_replace(F.regexp_extract(within, _STEM, 1), r"[^\w一-鿿-]", "_").alias("target")
     rows = lines.select(name, "section_no", "item_no", "line_no", F.col("line").alias("value"))
     rows.repartition("target").sortWithinPartitions("target", "section_no", "item_no", "line_no").select("target", "value").write.mode("overwrite").partitionBy("target").text(folder)
-
-
-
-
