@@ -198,10 +198,21 @@ def test_files(spark, tmp_path):
     (tmp_path / "坏.docx").write_bytes(b"no zip")
     (tmp_path / "a" / "文.txt").write_text("一行\n两行", encoding="utf-8")
     folder = str(tmp_path)
-    rows = files.docx_files(spark, folder).collect()
-    assert len(rows) == 3 and sum(r["error"] is not None for r in rows) == 1
+    (tmp_path / "旧.doc").write_bytes("旧文".encode())
+    (tmp_path / "a" / "乱.txt").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "报告.txt").write_text("同一份的文本", encoding="utf-8")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.docx_files(spark, folder).collect()}
+    assert set(rows) == {"报告.docx", "坏.docx", "旧.doc"}  # those below only where the folder itself has none
+    assert rows["旧.doc"]["error"].endswith("no converter for .doc") and rows["坏.docx"]["error"].startswith("BadZipFile")
+    assert {r["path"].rsplit("/", 1)[1] for r in files.docx_files(spark, str(tmp_path / "a")).collect()} == {"报告.docx"}
+    converted = files.docx_files(spark, folder, doc=files.command_converter("cat"))
+    assert {r["text"] for r in converted.filter("endswith(path, '.doc')").collect()} == {"旧文"}
+    done = spark.createDataFrame([(r["path"], "先前的文本", None) for k, r in rows.items() if k == "报告.docx"], "path string, text string, error string")
+    assert {r["text"] for r in files.docx_files(spark, folder, done).filter("error is null").collect()} == {"先前的文本"}
+    assert [r["path"].rsplit("/", 1)[1] for r in files.set_aside(files.text_files(spark, folder)).collect()] == ["乱.txt"]
     texts = {r["source"]: r["text"] for r in files.reference_texts(spark, folder).collect()}
-    assert texts["文"] == "一行\n两行" and set(texts) == {"文", "报告"} and texts["报告"] in ("第一段\n\n第二段\n", "另一份\n")
+    assert texts == {"文": "一行\n两行", "报告": "第一段\n\n第二段\n"}
+    assert files.words_in(spark, None, folder).count() == 0
     assert files.word_rows({"s": {"t": ["项目", "一", " 平台 "]}, "flat": ["计划"], "none": None}) == [("s", "t", "项目"), ("s", "t", "平台"), ("flat", None, "计划")]
 
 
@@ -228,3 +239,44 @@ def test_following(spark, tmp_path):
         follow_chunks(spark, source, terms, target, state).awaitTermination()
     got = {(r["term"], r["chunk_id"], r["n_found"], r["batch"]) for r in spark.read.parquet(target).collect()}
     assert got == {("甲乙", 0, 2, 0), ("丙", 1, 1, 1)}
+
+
+def test_whole_check(spark, tmp_path):
+    """From a folder to reports, again from the written claims, and evaluated."""
+    from veritrail.plans import pipeline
+
+    refs, out = tmp_path / "refs", str(tmp_path / "out")
+    refs.mkdir()
+    docx(refs / "年报.docx", "学校获批国家项目356项，经费充足，金融大模型实验室入选国家重大项目名单。")
+    (refs / "说明.txt").write_text("人工智能重点实验室建设情况的说明文字，另有别的内容。" * 30, encoding="utf-8")
+    (refs / "坏.docx").write_bytes(b"no zip")
+    (refs / "entity_config.yaml").write_text("行业:\n  - 课程\n", encoding="utf-8")
+    target = tmp_path / "讲话.txt"
+    target.write_text("学校获批国家项目356项，经费充足。\n完全不存在的表述内容在此处出现一次。\n金融大模型实验室入选国家重大项目名单。", encoding="utf-8")
+    judge = lambda messages: [json.dumps({"results": [{"index": 1, "verdict": "not_found", "verifiable": "no"}]}) for _ in messages]
+    options = pipeline.Options(date="2026-01-02", conflicts=True)
+    for _ in range(2):  # the second time documents converted before aren't converted again
+        summary = pipeline.check_folder(spark, str(target), str(refs), out, options, workbook=str(tmp_path / "w.xlsx"), judge=judge, classifier=judge)
+        assert summary.startswith("claims: 3\n✓: 2\n✗: 1")
+    rows = {r["pos"]: r for r in files.read_checks(spark, out, pipeline.CHECKED).collect()}
+    assert rows[0]["source"] == "年报" and "获批国家项目356项" in rows[0]["snippet"] and rows[0]["candidates"][0]["source"] == "年报"
+    assert [r["verifiable"] for r in rows.values() if r["status"] == L.NOT_FOUND] == [False]
+    aside = spark.read.json(f"{out}/set_aside").collect()
+    assert len(aside) == 1 and "BadZipFile" in aside[0]["error"]
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out" / "report").rglob("*.txt"))
+    assert "生成时间：2026-01-02  参考文档：2 份  共 3 条" in text and "不可核实（修辞、标题、原则）：1 条" in text
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        book = z.read("xl/workbook.xml").decode()
+        assert [n in book for n in ("全部表述", "已确认", "待确认", "反向验证", "实体覆盖")] == [True] * 5
+        assert z.read("xl/worksheets/sheet1.xml").decode().count("<row>") == 4
+        from xml.etree import ElementTree
+
+        for name in z.namelist():
+            ElementTree.fromstring(z.read(name))
+    assert pipeline.regenerate(spark, out, options).startswith("claims: 3")
+    gold = [{"声明文本": "学校获批国家项目356项，经费充足", "期望状态": "✓ 已确认", "漏检类型": "精确型", "测试集": "a"}, {"声明文本": "没有这一条", "期望状态": "✓ 已确认", "漏检类型": "精确型", "测试集": "b"}]
+    (tmp_path / "g.jsonl").write_text("\n".join(json.dumps(g, ensure_ascii=False) for g in gold), encoding="utf-8")
+    result = pipeline.evaluate_run(spark, str(tmp_path / "g.jsonl"), out, run=lambda: None)
+    assert result["recall"].first()["recall_1"] == 0.5 and result["seconds_a_target"] >= 0
+    assert [r["claim_text"] for r in result["unmatched"].collect()] == ["没有这一条"]
+    assert pipeline.evaluate_run(spark, str(tmp_path / "g.jsonl"), out, test_set="a")["recall"].first()["recall_1"] == 1.0
