@@ -131,7 +131,7 @@ def apart(places: Column, width: Column) -> Column:
     """How many of the places (in order) of a string of that width don't overlap, taken from the left; one pass."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("free"))
     step = lambda acc, p: F.when(p >= acc["free"], F.struct((acc["n"] + 1).alias("n"), (p + width).cast("int").alias("free"))).otherwise(acc)
-    return F.aggregate(places, start, step, lambda acc: acc["n"])
+    return F.when(F.size(places) < 2, F.size(places)).otherwise(F.aggregate(places, start, step, lambda acc: acc["n"]))
 
 
 def attribute_words(text: Column, entity: Column, window: int = L.ATTRIBUTE_WINDOW) -> Column:

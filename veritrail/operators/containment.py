@@ -20,11 +20,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import apart
-from ..session import materialize
+from ..session import materialize, spread
 from .membership import membership
 
 GRAM, HEAD = 3, 64
@@ -107,17 +106,24 @@ def _places(known, sizes: list[int], ignore_case: bool, schema: pa.Schema):
             keys = batch.drop_columns(["text"])
             for low, texts in _shares(batch.column("text").to_pylist()):
                 level = [levelled(t) for t in texts] if ignore_case else texts
+                differs = np.array([a is not b and a != b for a, b in zip(level, texts)])
                 for size in sizes:
                     number, place, gram = packed_grams(level, size)
                     hit = known.value(gram)
-                    number, place = number[hit], place[hit]
-                    around = [level[n][max(0, p - HEAD) : p + HEAD] for n, p in zip(number.tolist(), place.tolist())] if size == GRAM else [None] * hit.size
+                    number, place, gram = number[hit], place[hit], gram[hit]
+                    # a row a text and gram, with its places in order
+                    order = np.lexsort((place, gram, number))
+                    number, place, gram = number[order], place[order], gram[order]
+                    first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (gram[1:] != gram[:-1])]) if number.size else number
+                    ends = pa.array(np.r_[first, number.size].astype(np.int32))
+                    spots = list(zip(number.tolist(), place.tolist()))
+                    cut = lambda of, n, p: of[n][max(0, p - HEAD) : p + HEAD]
+                    around = pa.array([cut(level, n, p) for n, p in spots] if size == GRAM else [None] * len(spots), pa.string())
                     # as written: only where that differs from the levelled characters
-                    written = [None] * hit.size
-                    if ignore_case:
-                        written = [texts[n][max(0, p - HEAD) : p + HEAD] if texts[n] is not level[n] and texts[n] != level[n] else None for n, p in zip(number.tolist(), place.tolist())]
-                    extra = [pa.array(gram[hit]), pa.array(place.astype(np.int32)), pa.array(around, pa.string()), pa.array(written, pa.string()), pa.array([len(texts[n]) for n in number.tolist()], pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*keys.take(pa.array(number + low)).columns, *extra], schema=schema)
+                    written = pa.array([cut(texts, n, p) if differs[n] else None for n, p in spots] if differs.any() else [None] * len(spots), pa.string())
+                    lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(place.astype(np.int32)), around, written)]
+                    extra = [pa.array(gram[first]), *lists, pa.array([len(texts[n]) for n in number[first].tolist()], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*keys.take(pa.array(number[first] + low)).columns, *extra], schema=schema)
 
     return run
 
@@ -127,42 +133,47 @@ def contains_join(terms: DataFrame, texts: DataFrame, *keys: str, ignore_case: b
     the texts that contain it, with the places of its occurrences (from 1, in order, also those that overlap), the number
     of occurrences that don't overlap, of those as written, and the text's length.
 
-    Null and empty terms and null texts meet nothing. The keys tell texts apart: rows that share them and their text
-    are one text. `ignore_case` finds and counts terms in either case, character by character."""
-    terms = materialize(terms.select("term").filter("term is not null and term <> ''").distinct(), "terms")
+    Null and empty terms and null texts meet nothing. The keys tell texts apart; a text delivered twice is found twice.
+    `ignore_case` finds and counts terms in either case, character by character."""
+    terms = terms.select("term").filter("term is not null and term <> ''").distinct()
     grams = materialize(terms.mapInArrow(_term_grams(ignore_case), "term string, sought string, at int, gram bigint"), "term-grams")
-    texts = texts.select(*keys, "text").filter("text is not null")
+    texts = spread(texts.select(*keys, "text").filter("text is not null"), *keys)
     sized = F.least(F.length("sought"), F.lit(GRAM)).alias("size")
-    counts = {r["size"]: r["n"] for r in grams.groupBy(sized).agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows at most
+    counts = {r["size"]: r for r in grams.groupBy(sized).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("sought")).alias("longest")).collect()}  # three rows at most
     sizes = sorted(counts) or [GRAM]
     whole = grams.filter(F.length("sought") < GRAM).select("term", "sought", "at", "gram")
     long = grams.filter(F.length("sought") >= GRAM)
     if GRAM in counts:
-        known = membership(long, "gram", counts[GRAM])
+        known = membership(long, "gram", counts[GRAM]["n"])
         frequency = texts.select("text").mapInArrow(_frequencies(known, ignore_case), "gram bigint, times bigint").groupBy("gram").agg(F.sum("times").alias("times"))
-        rarest = F.row_number().over(W.partitionBy("term").orderBy("times", "gram", "at"))
-        # a gram that no text has keeps its term from being found at all
-        scored = long.join(frequency, "gram", "left").withColumn("_rank", rarest).filter("_rank = 1 and times is not null")
-        whole = whole.unionByName(scored.select("term", "sought", "at", "gram"))
+        # the rarest gram of a term; a gram that no text has keeps its term from being found at all
+        met = long.join(frequency, "gram", "left").groupBy("term", "sought").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram", "at")).alias("a"))
+        whole = whole.unionByName(met.filter("a.times > 0").select("term", "sought", "a.at", "a.gram"))
     anchors = materialize(whole, "anchors")
     known = membership(anchors, "gram", anchors.count())
     types = texts.select(*keys).limit(0).toArrow().schema
-    schema = pa.schema([*types, ("gram", pa.int64()), ("place", pa.int32()), ("around", pa.string()), ("written", pa.string()), ("n_chars", pa.int32())])
+    schema = pa.schema([*types, ("gram", pa.int64()), ("place", pa.list_(pa.int32())), ("around", pa.list_(pa.string())), ("written", pa.list_(pa.string())), ("n_chars", pa.int32())])
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
-    found = texts.mapInArrow(_places(known, sizes, ignore_case, schema), f"{columns}, gram bigint, place int, around string, written string, n_chars int").join(anchors, "gram")
+    found = texts.mapInArrow(_places(known, sizes, ignore_case, schema), f"{columns}, gram bigint, place array<int>, around array<string>, written array<string>, n_chars int").join(anchors, "gram")
     width = F.least(F.length("sought"), F.lit(HEAD))
-    lead = F.least("place", F.lit(HEAD))
-    cut = lambda c: F.substring(F.col(c), lead - F.col("at") + 1, width)
-    stands = F.when(F.col("around").isNull(), True).otherwise((lead >= F.col("at")) & (cut("around") == F.left("sought", width)))
-    short = F.substring(F.col("written"), lead + 1, width)
-    as_written = F.when(F.col("around").isNull(), F.coalesce(short, "sought")).otherwise(F.coalesce(cut("written"), cut("around"))) == F.left("term", width)
-    found = found.filter(stands).select("term", "sought", *keys, "n_chars", (F.col("place") - F.col("at") + 1).alias("place"), as_written.alias("exact"))
-    if (terms.agg(F.max(F.length("term"))).first()[0] or 0) > HEAD:
-        more = found.filter(F.length("sought") > HEAD).join(texts, list(keys))
+    lead = lambda s: F.least(s["place"], F.lit(HEAD))
+    cut = lambda s, c: F.substring(s[c], lead(s) - F.col("at") + 1, width)
+    stands = lambda s: s["around"].isNull() | (lead(s) >= F.col("at")) & (cut(s, "around") == F.left("sought", width))
+    as_written = lambda s: F.coalesce(cut(s, "written"), cut(s, "around"), F.col("sought")) == F.left("term", width)
+    # a term that is its own gram stands at every place, in a text without capitals as it is sought
+    own = (F.length("sought") < GRAM) & F.col("written")[0].isNull()
+    zipped = F.filter(F.arrays_zip("place", "around", "written"), stands)
+    moved = lambda spots: F.transform(spots, lambda s: s["place"] - F.col("at") + 1)
+    none = F.array().cast("array<int>")
+    places = F.when(own, F.transform("place", lambda p: p + 1)).otherwise(moved(zipped))
+    exact = F.when(own, F.when(F.col("sought") == F.col("term"), F.transform("place", lambda p: p + 1)).otherwise(none)).otherwise(moved(F.filter(zipped, as_written)))
+    found = found.select("term", "sought", *keys, "n_chars", places.alias("places"), (exact if ignore_case else none).alias("exact")).filter("size(places) > 0")
+    if max((r["longest"] for r in counts.values()), default=0) > HEAD:
+        more = found.filter(F.length("sought") > HEAD).join(texts.dropDuplicates(list(keys)), list(keys))
         level = F.lower if ignore_case else lambda c: c
-        part = F.substring(F.col("text"), F.col("place"), F.length("term"))
-        more = more.filter(level(part) == level(F.col("term"))).select("term", "sought", *keys, "n_chars", "place", (part == F.col("term")).alias("exact"))
-        found = found.filter(F.length("sought") <= HEAD).unionByName(more)
-    # a text delivered twice gives the same places twice
-    places = found.groupBy("term", *keys).agg(F.max("n_chars").alias("n_chars"), F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("place")))).alias("_exact"))
-    return places.select("term", *keys, "places", apart(F.col("places"), F.length("term")).alias("n_found"), apart(F.col("_exact"), F.length("term")).alias("n_exact"), "n_chars")
+        part = lambda p: F.substring(F.col("text"), p, F.length("term"))
+        more = more.withColumns({"places": F.filter("places", lambda p: level(part(p)) == level(F.col("term"))), "exact": F.filter("exact", lambda p: part(p) == F.col("term"))})
+        found = found.filter(F.length("sought") <= HEAD).unionByName(more.select(*found.columns).filter("size(places) > 0"))
+    n_found = apart(F.col("places"), F.length("term")).alias("n_found")
+    n_exact = apart(F.col("exact"), F.length("term")).alias("n_exact") if ignore_case else n_found.alias("n_exact")
+    return found.select("term", *keys, "places", n_found, n_exact, "n_chars")

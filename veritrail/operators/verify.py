@@ -151,7 +151,7 @@ def misattributed(claims: DataFrame, matched: DataFrame, hits: DataFrame, facts:
     rows = claims.filter(~F.col("claim_text").rlike(POLICY_LINE))
     named = claim_entities(rows).select("claim_id", "entity").distinct().join(matched.select("claim_id", "keyword"), "claim_id").filter("entity <> keyword")
     known = named.join(facts.select(F.col("term").alias("entity"), "first_source"), "entity")
-    pairs = materialize(known.select("entity", "keyword").distinct(), "name-pairs")
+    pairs = known.select("entity", "keyword").distinct()
 
     def spots(name: str) -> DataFrame:
         """Of the terms in pairs only: least and greatest place by text and stretch."""

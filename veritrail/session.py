@@ -55,6 +55,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input that are work enough for a task.
+SPLIT = 4 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores where it is read from so little that its scan would leave most of them idle, as when heavy work in
+    Python follows. Larger inputs come in enough splits and aren't shuffled. The rows are the same either way."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= 2 * cores:
+        return df
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    size = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys) if size < 2 * cores * SPLIT else df
+
+
 def clear_work(spark: SparkSession) -> None:
     """Remove the tables that materialize() and the persistent counts have left; results read from them end with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veritrail")

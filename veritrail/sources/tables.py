@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The stored rows, repeated deliveries included."""
@@ -18,6 +20,14 @@ def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def latest_apart(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The same for rows that are large and seldom delivered twice: the keys of those that are, found without the rest of
+    the rows and written, so that their size is known, are joined with the rows; rows delivered once aren't shuffled. A null
+    key is no key: each such row stays."""
+    several = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key), "repeated")
+    return df.join(several, key, "left_anti").unionByName(latest(df.join(several, key, "left_semi"), key, *order))
+
+
 def ref_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = table(spark, sf_dir, "ref_docs")
     keep = columns or tuple(df.columns)
@@ -29,7 +39,7 @@ def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = table(spark, sf_dir, "chunks")
     keep = columns or tuple(df.columns)
     df = df.select(*dict.fromkeys(("chunk_id", "loaded_ts", *keep)))
-    return latest(df, "chunk_id", F.desc("loaded_ts")).select(*keep)
+    return latest_apart(df, "chunk_id", F.desc("loaded_ts")).select(*keep)
 
 
 def checks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
