@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__
 
 DATA = Path("/root/testdata/sf0.001")
-CHEAP = "claims_split numbers_extract entities_quoted entity_noise_filter subclaims keywords_topk attribute_words search_terms status_cascade match_first claim_status rrf_fusion adjudication_queue verdict_merge section_numbers advice_text eval_match_documents ab_diff".split()
+CHEAP = "report_rows report_sheets chunks_boundary prompt_texts batch_messages classify_messages prefilter_messages intra_doc_conflicts claim_status_retrieved claims_split numbers_extract entities_quoted entity_noise_filter subclaims keywords_topk attribute_words search_terms status_cascade rrf_fusion adjudication_queue verdict_merge section_numbers advice_text eval_match_documents ab_diff".split()
 
 
 def plain(value):
