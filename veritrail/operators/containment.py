@@ -100,7 +100,7 @@ def _frequencies(known, ignore_case: bool, most: int = 1 << 20):
     return run
 
 
-def _places(known, sizes: list[int], ignore_case: bool, schema: pa.Schema):
+def _places(known, sizes: list[int], reach: int, ignore_case: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.drop_columns(["text"])
@@ -117,7 +117,7 @@ def _places(known, sizes: list[int], ignore_case: bool, schema: pa.Schema):
                     first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (gram[1:] != gram[:-1])]) if number.size else number
                     ends = pa.array(np.r_[first, number.size].astype(np.int32))
                     spots = list(zip(number.tolist(), place.tolist()))
-                    cut = lambda of, n, p: of[n][max(0, p - HEAD) : p + HEAD]
+                    cut = lambda of, n, p: of[n][max(0, p - reach) : p + reach]
                     around = pa.array([cut(level, n, p) for n, p in spots] if size == GRAM else [None] * len(spots), pa.string())
                     # as written: only where that differs from the levelled characters
                     written = pa.array([cut(texts, n, p) if differs[n] else None for n, p in spots] if differs.any() else [None] * len(spots), pa.string())
@@ -151,12 +151,14 @@ def contains_join(terms: DataFrame, texts: DataFrame, *keys: str, ignore_case: b
         whole = whole.unionByName(met.filter("a.times > 0").select("term", "sought", "a.at", "a.gram"))
     anchors = materialize(whole, "anchors")
     known = membership(anchors, "gram", anchors.count())
+    longest = max((r["longest"] for r in counts.values()), default=0)
+    reach = min(HEAD, longest)  # as much around a place as the longest term needs
     types = texts.select(*keys).limit(0).toArrow().schema
     schema = pa.schema([*types, ("gram", pa.int64()), ("place", pa.list_(pa.int32())), ("around", pa.list_(pa.string())), ("written", pa.list_(pa.string())), ("n_chars", pa.int32())])
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
-    found = texts.mapInArrow(_places(known, sizes, ignore_case, schema), f"{columns}, gram bigint, place array<int>, around array<string>, written array<string>, n_chars int").join(anchors, "gram")
+    found = texts.mapInArrow(_places(known, sizes, reach, ignore_case, schema), f"{columns}, gram bigint, place array<int>, around array<string>, written array<string>, n_chars int").join(anchors, "gram")
     width = F.least(F.length("sought"), F.lit(HEAD))
-    lead = lambda s: F.least(s["place"], F.lit(HEAD))
+    lead = lambda s: F.least(s["place"], F.lit(reach))
     cut = lambda s, c: F.substring(s[c], lead(s) - F.col("at") + 1, width)
     stands = lambda s: s["around"].isNull() | (lead(s) >= F.col("at")) & (cut(s, "around") == F.left("sought", width))
     as_written = lambda s: F.coalesce(cut(s, "written"), cut(s, "around"), F.col("sought")) == F.left("term", width)
@@ -168,7 +170,7 @@ def contains_join(terms: DataFrame, texts: DataFrame, *keys: str, ignore_case: b
     places = F.when(own, F.transform("place", lambda p: p + 1)).otherwise(moved(zipped))
     exact = F.when(own, F.when(F.col("sought") == F.col("term"), F.transform("place", lambda p: p + 1)).otherwise(none)).otherwise(moved(F.filter(zipped, as_written)))
     found = found.select("term", "sought", *keys, "n_chars", places.alias("places"), (exact if ignore_case else none).alias("exact")).filter("size(places) > 0")
-    if max((r["longest"] for r in counts.values()), default=0) > HEAD:
+    if longest > HEAD:
         more = found.filter(F.length("sought") > HEAD).join(texts.dropDuplicates(list(keys)), list(keys))
         level = F.lower if ignore_case else lambda c: c
         part = lambda p: F.substring(F.col("text"), p, F.length("term"))
