@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..session import materialize
-from .adjudicate import VERDICTS, apply_verdicts, classify_queue, judge_queue, model_claims, repaired, with_evidence
+from .adjudicate import apply_verdicts, classify_queue, judge_queue, model_claims, repaired, with_evidence
 from .claims import batches, neighbours, prompt_texts
 
 Client = Callable[[list[str]], list[str | None]]
@@ -235,6 +235,3 @@ def extract(texts: DataFrame, text_id: str, client: Client) -> DataFrame:
     failed has no rows here and goes to the extraction without a model."""
     parts = prompt_texts(texts, text_id).withColumnRenamed("part", "message")
     return model_claims(materialize(ask(parts, client), "answers").select(text_id, "part_no", "answer"), text_id)
-
-
-STATUSES = VERDICTS
